@@ -1,28 +1,305 @@
-"""The registered queries of the history search engine over the test tables, and SQL that gives the same rows."""
+"""The registered queries of the history search engine over the test tables, and SQL that gives the same rows.
+
+``documents`` is a history: a file is lang/source, a commit is doc_id, and each commit replaces one
+file. ``conversations`` is a second one: a file is a conversation, a commit a turn. ``labels`` says
+which versions are deletions (toxic) in the history with deletions. All run over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text
+from palimpsest.operators import index, search
+from palimpsest.plans.regex import Need
+from palimpsest.sources import history
+from palimpsest.streaming.debounce import debounced
+
+WORDS, PATTERN, CLASS = ["und", "der"], "(?:re|un)d+|ü[a-m]s", "[a-c]nd"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.versions(read(spark, sf_dir, "documents"), F.concat_ws("/", "lang", "source"), "doc_id", "text")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.versions(read(spark, sf_dir, "conversations"), F.col("conv_id").cast("string"), "turn", "text")
+
+
+def with_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toxic = read(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("toxic") > 0).alias("gone"))
+    docs = read(spark, sf_dir, "documents").join(toxic, "doc_id", "left")
+    return history.versions(docs, F.concat_ws("/", "lang", "source"), "doc_id", "text", F.col("gone"))
+
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# The SQL of a history: versions with until and head, lines without line ends, tokens of a line.
+_V = """
+src as (select concat_ws('/', lang, source) as path, doc_id as commit_index, text as content from documents),
+v as (select path, commit_index, content, coalesce(lead(commit_index) over (partition by path order by commit_index), (select max(commit_index) from src) + 1) as until, (select max(commit_index) from src) as head from src)
+"""
+_C = _V.replace("concat_ws('/', lang, source) as path, doc_id as commit_index, text as content from documents", "cast(conv_id as varchar) as path, turn as commit_index, text as content from conversations")
+_D = _V.replace("text as content from documents", "case when exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic > 0) then null else text end as content from documents d").replace("doc_id as commit_index", "d.doc_id as commit_index")
+
+
+def _lines(v: str = "v", n: str = "ls") -> str:
+    bare = "case when right(content, 1) = chr(10) then left(content, length(content) - 1) else content end"
+    return f"{n} as (select path, commit_index, until, head, string_split({bare}, chr(10)) as ll from (select path, commit_index, until, head, replace(content, chr(13) || chr(10), chr(10)) as content from {v} where content is not null and content <> ''))"
+
+
+_EACH = "each_line as (select path, commit_index, until, head, unnest(ll) as line, unnest(range(0, len(ll))) as line_no from ls)"
+_TOK = "tok as (select path, commit_index, until, head, line_no, unnest(case when length(line) = 0 then [] when length(line) < 3 then [line] else list_transform(range(1, length(line) - 1), lambda i: substring(line, i, 3)) end) as token from each_line)"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _with(*parts: str) -> str:
+    return "with " + ",\n".join(p.strip() for p in parts) + "\n"
+
+
+_TOKENS = (_V, _lines(), _EACH, _TOK)
+
+
+# ---- tokens and dictionary -------------------------------------------------------------------
+
+
+@query("token_counts", _with(*_TOKENS) + "select token, count(*) as n_lines, count(distinct path) as n_files from (select distinct path, commit_index, line_no, token from tok) group by token")
+def token_counts(spark, sf_dir):
+    t = index.token_lines(documents(spark, sf_dir))
+    per_file = t.groupBy("token", "path").agg(F.sum(F.size("line_numbers")).alias("n"))
+    return per_file.groupBy("token").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_files"))
+
+
+@query("token_dictionary", _with(*_TOKENS) + "select distinct token from tok")
+def token_dictionary(spark, sf_dir):
+    return index.dictionary(index.version_tokens(documents(spark, sf_dir)))
+
+
+@query("postings", _with(*_TOKENS) + "select distinct token, path from tok")
+def postings(spark, sf_dir):
+    return index.postings(documents(spark, sf_dir))
+
+
+@query("version_tokens", _with(*_TOKENS) + "select path, commit_index, count(distinct token) as n_tokens from tok group by path, commit_index")
+def version_tokens(spark, sf_dir):
+    return index.version_tokens(documents(spark, sf_dir)).groupBy("path", "commit_index").agg(F.count("*").alias("n_tokens"))
+
+
+@query("token_line_numbers", _with(_C, _lines(), _EACH, _TOK) + "select path, commit_index, token, array_to_string(list_sort(list(distinct line_no)), ',') as line_numbers from tok group by path, commit_index, token")
+def token_line_numbers(spark, sf_dir):
+    return index.token_lines(conversations(spark, sf_dir)).withColumn("line_numbers", F.array_join(F.col("line_numbers").cast("array<string>"), ","))
+
+
+@query("short_line_tokens", _with(_V, _lines(), _EACH) + "select distinct line as token, path from each_line where length(line) in (1, 2)")
+def short_line_tokens(spark, sf_dir):
+    return index.postings(documents(spark, sf_dir)).where("length(token) < 3")
+
+
+@query("dictionary_substring", _with(*_TOKENS) + "select distinct token from tok where contains(token, 'en')")
+def dictionary_substring(spark, sf_dir):
+    words = index.dictionary(index.version_tokens(documents(spark, sf_dir)))
+    return index.with_needs(words, [Need("holds", "en")]).select("token")
+
+
+@query("dictionary_class", _with(*_TOKENS) + "select distinct token from tok where regexp_matches(token, '^[a-c]n[d-t]$')")
+def dictionary_class(spark, sf_dir):
+    words = index.dictionary(index.version_tokens(documents(spark, sf_dir)))
+    return index.with_needs(words, [Need("matches", "^[a-c]n[d-t]$")]).select("token")
+
+
+@query("files_all_tokens", _with(*_TOKENS) + "select path from (select distinct path, token from tok where token in ('und', 'der')) group by path having count(*) = 2")
+def files_all_tokens(spark, sf_dir):
+    return index.candidate_files(index.version_tokens(documents(spark, sf_dir)), [[Need("is", w) for w in WORDS]])
+
+
+@query("files_any_token", _with(*_TOKENS) + "select distinct path from tok where token in ('ßes', 'ños')")
+def files_any_token(spark, sf_dir):
+    return index.candidate_files(index.version_tokens(documents(spark, sf_dir)), [[Need("is", "ßes")], [Need("is", "ños")]])
+
+
+@query("presence_intervals", _with(_C, _lines(), _EACH, _TOK, """
+nth as (select path, commit_index, until, row_number() over (partition by path order by commit_index) as n from v),
+held as (select distinct t.path, t.token, n.n, n.commit_index, n.until from tok t join nth n on t.path = n.path and t.commit_index = n.commit_index),
+runs as (select *, n - row_number() over (partition by path, token order by n) as run from held)
+""") + "select path, token, min(commit_index) as from_commit, max(until) as to_commit from runs group by path, token, run")
+def presence_intervals(spark, sf_dir):
+    return index.presence(conversations(spark, sf_dir))
+
+
+@query("modified_or_head_commits", _with(_D) + """
+select path, commit_index, commit_index as since from v where content is not null
+union all select path, head, commit_index from v where content is not null and until > head and commit_index < head""")
+def modified_or_head_commits(spark, sf_dir):
+    return index.modified_or_head(with_deletions(spark, sf_dir))
+
+
+@query("changes", _with(_D) + "select path, commit_index, case when content is null then 'D' when lag(content) over (partition by path order by commit_index) is null then 'A' else 'M' end as change from v")
+def changes(spark, sf_dir):
+    v = with_deletions(spark, sf_dir)
+    return v.withColumn("change", history.change(v)).select("path", "commit_index", "change")
+
+
+@query("as_of_content", _with(_D, "w as (select distinct path, head - 100 as at from v)") + "select w.path, w.at as commit_index, v.content from w join v on v.path = w.path and v.commit_index <= w.at and w.at < v.until where v.content is not null")
+def as_of_content(spark, sf_dir):
+    v = with_deletions(spark, sf_dir)
+    return history.at_commit(v, v.select("path", (F.col("head") - 100).alias("commit_index")).distinct())
+
+
+# ---- plain search ----------------------------------------------------------------------------
+
+_SEEN = "select path, min(commit_index) as first_commit, nullif(max(case when until > head then head else commit_index end), min(commit_index)) as last_commit from v where {} group by path"
+
+
+def _both(*words: str) -> str:
+    return " and ".join("contains(content, '{}')".format(w.replace("'", "''")) for w in words)
+
+
+def _plain(name: str, words: str, base=documents, v: str = _V):
+    @query(name, _with(v) + _SEEN.format(_both(*words.split())))
+    def run(spark, sf_dir):
+        return search.first_last(search.matching(base(spark, sf_dir), search.plain(words)))
+
+    @query(f"{name}_by_index", _with(v) + _SEEN.format(_both(*words.split())))
+    def run_by_index(spark, sf_dir):
+        h = base(spark, sf_dir)
+        return search.first_last(search.matching(h, search.plain(words), postings=index.version_tokens(h)))
+
+
+_plain("plain_one_word", "und")
+_plain("plain_two_words", "und der")
+_plain("plain_short_word", "x")
+_plain("plain_multibyte_word", "für ß")
+_plain("plain_missing_word", "zzzzqqqq")
+_plain("deleted_file_history", "und", with_deletions, _D)
+
+
+@query("plain_by_presence", _with(_C) + _SEEN.format(_both("the", "and")))
+def plain_by_presence(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    return search.first_last(search.matching(h, search.plain("the and"), presence=index.presence(h)))
+
+
+# ---- regular expressions ---------------------------------------------------------------------
+
+
+def _regex(name: str, pattern: str, base=documents, v: str = _V):
+    sql = _with(v, _lines(), _EACH, f"hit as (select distinct path, commit_index, until, head from each_line where regexp_matches(line, '{pattern}'))") + _SEEN.format("true").replace("from v", "from hit")
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return search.first_last(search.matching(base(spark, sf_dir), search.pattern(pattern)))
+
+    @query(f"{name}_by_index", sql)
+    def run_by_index(spark, sf_dir):
+        h = base(spark, sf_dir)
+        return search.first_last(search.matching(h, search.pattern(pattern), postings=index.version_tokens(h)))
+
+
+_regex("regex_literal", "er un")
+_regex("regex_class", CLASS)
+_regex("regex_alternation", "(?:é|ü)r+|qu[ae]nt")
+_regex("regex_repeat", "(?:an|en){2,4}d?")
+_regex("regex_case_insensitive", "(?i)license")
+_regex("regex_anchored", "^[A-Z]an.*and[.]?$", conversations, _C)
+
+
+# ---- places, context, highlights -------------------------------------------------------------
+
+
+@query("line_matches", _with(_V, _lines(), _EACH, f"hit as (select path, commit_index, line_no, line, row_number() over (partition by path, commit_index order by line_no) as k, regexp_extract(line, '{CLASS}') as term from each_line where regexp_matches(line, '{CLASS}'))") + "select path, commit_index, line_no, term, strlen(substring(line, 1, strpos(line, term) - 1)) as byte_column from hit where k <= 11")
+def line_matches(spark, sf_dir):
+    q = search.pattern(CLASS)
+    found = search.matching(documents(spark, sf_dir), q)
+    return found.select("path", "commit_index", F.explode(search.places(F.col("content"), q)).alias("p")).select("path", "commit_index", "p.line_no", "p.term", "p.byte_column")
+
+
+@query("first_word_position", _with(_V, _lines(), _EACH, "w as (select * from (values ('und'), ('der')) as t(term))", f"ok as (select path, commit_index from v where {_both('und', 'der')})", "spot as (select e.path, e.commit_index, w.term, e.line_no, e.line, row_number() over (partition by e.path, e.commit_index, w.term order by e.line_no) as k from each_line e join ok on e.path = ok.path and e.commit_index = ok.commit_index join w on contains(e.line, w.term))") + "select path, commit_index, term, line_no, strlen(substring(line, 1, strpos(line, term) - 1)) as byte_column from spot where k = 1")
+def first_word_position(spark, sf_dir):
+    q = search.plain(" ".join(WORDS))
+    found = search.matching(documents(spark, sf_dir), q)
+    return found.select("path", "commit_index", F.explode(search.places(F.col("content"), q)).alias("p")).select("path", "commit_index", "p.term", "p.line_no", "p.byte_column")
+
+
+_AROUND = (
+    _V, _lines(), _EACH,
+    f"hit as (select path, commit_index, line_no, row_number() over (partition by path, commit_index order by line_no) as k from each_line where regexp_matches(line, '{PATTERN}'))",
+    "near as (select distinct path, commit_index, line_no + d as line_no from (select *, unnest(range(-2, 2)) as d from hit where k <= 11))",
+    "around as (select e.path, e.commit_index, e.line_no, e.line from each_line e join near n on e.path = n.path and e.commit_index = n.commit_index and e.line_no = n.line_no)",
+)
+
+
+def _shown(spark, sf_dir) -> DataFrame:
+    q = search.pattern(PATTERN)
+    found = search.matching(documents(spark, sf_dir), q)
+    return found.select("path", "commit_index", F.explode(search.shown(F.col("content"), q)).alias("s")).select("path", "commit_index", F.col("s.line_number").alias("line_no"), F.col("s.content").alias("line"), F.size("s.highlights").alias("n_highlights"))
+
+
+@query("context_window", _with(*_AROUND) + "select path, commit_index, line_no, line from around")
+def context_window(spark, sf_dir):
+    return _shown(spark, sf_dir).drop("n_highlights")
+
+
+@query("context_gaps", _with(*_AROUND) + "select path, commit_index, line_no from (select *, lag(line_no) over (partition by path, commit_index order by line_no) as p from around) where p is not null and p <> line_no - 1")
+def context_gaps(spark, sf_dir):
+    rows = _shown(spark, sf_dir)
+    before = F.lag("line_no").over(Window.partitionBy("path", "commit_index").orderBy("line_no"))
+    return rows.withColumn("p", before).where("p <> line_no - 1").select("path", "commit_index", "line_no")
+
+
+@query("highlighted_lines", _with(_V, _lines(), _EACH) + "select path, commit_index, line_no, regexp_replace(line, '(und|der)', '<\\1>', 'g') as marked from each_line where contains(line, 'und') and contains(line, 'der')")
+def highlighted_lines(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("path", "commit_index", F.posexplode(text.lines("content")).alias("line_no", "line"))
+    both = rows.where(F.contains("line", F.lit("und")) & F.contains("line", F.lit("der")))
+    return both.select("path", "commit_index", "line_no", text.highlighted("line", WORDS, "<", ">").alias("marked"))
+
+
+@query("shortened_lines", _with(_V, _lines(), _EACH) + "select path, commit_index, lpad(cast(line_no as varchar), 6, ' ') || '| ' as label, case when strlen(line) < 80 then line else left(line, 40) || ' ... ' || right(line, 40) end as line from each_line")
+def shortened_lines(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("path", "commit_index", F.posexplode(text.lines("content")).alias("line_no", "line"))
+    return rows.select("path", "commit_index", text.numbered("line_no").alias("label"), text.shortened("line").alias("line"))
+
+
+@query("leftmost_first_words", _with(_V) + "select path, commit_index, array_to_string(list_sort(list_distinct(regexp_extract_all(content, 'und|under|der'))), ',') as words from v")
+def leftmost_first_words(spark, sf_dir):
+    return documents(spark, sf_dir).select("path", "commit_index", F.array_join(text.found_words("content", ["und", "under", "der"]), ",").alias("words"))
+
+
+@query("search_hits")
+def search_hits(spark, sf_dir):
+    q = search.pattern(PATTERN)
+    found = search.hits(search.matching(documents(spark, sf_dir), q), q)
+    return found.select("path", F.to_json("first_match").alias("first_match"), F.to_json("last_match").alias("last_match"))
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select(F.concat_ws("/", "lang", "source").alias("path"), F.col("doc_id").alias("commit_index"), F.col("text").alias("content"))
 
+@query("search_page", _with(_V) + _SEEN.format(_both("und", "der")) + " order by path limit 10 offset 10")
+def search_page(spark, sf_dir):
+    return search.page(search.first_last(search.matching(documents(spark, sf_dir), search.plain("und der"))), 1, 10)
 
-def plain_two_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _documents(spark, sf_dir).where(F.contains("content", F.lit("und")) & F.contains("content", F.lit("der")))
-    return held.groupBy("path").agg(F.min("commit_index").alias("first_commit"), F.max("commit_index").alias("last_commit"))
 
+@query("top_files", _with(_V) + _SEEN.format(_both("und")) + " order by path limit 10")
+def top_files(spark, sf_dir):
+    return search.page(search.first_last(search.matching(documents(spark, sf_dir), search.plain("und"))), 0, 10)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"plain_two_words": plain_two_words}
 
-ORACLE_SQL: dict[str, str] = {
-    "plain_two_words": """
-select concat_ws('/', lang, source) as path, min(doc_id) as first_commit, max(doc_id) as last_commit
-from documents where contains(text, 'und') and contains(text, 'der') group by 1
-""",
-}
+@query("debounced_signals")
+def debounced_signals(spark, sf_dir):
+    return debounced(read(spark, sf_dir, "events"), "user_id", "ts", 3600.0)
