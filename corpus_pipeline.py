@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars, where there is one, follows the text. Texts that were null or blank before stay.
     """
-    cleaned = dedup_lines(docs).where((F.col("__lines_gone") == 0) | (F.trim(F.col("text")) != ""))
+    cleaned = dedup_lines(docs).where((F.col("__lines_gone") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("__lines_gone") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

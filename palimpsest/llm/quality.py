@@ -201,7 +201,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     p = scorer(docs.sparkSession, fit(docs, labels))
     text = F.col("text").cast("string")
-    blank = text.isNull() | (F.trim(text) == "")
+    blank = text.isNull() | ~text.rlike(r"\S")
     said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), p(text).alias("__p"), blank.alias("__blank"))
     said = said.select("doc_id", F.when(F.col("__blank"), 0.0).otherwise(F.col("__p")).alias("p_good"))
     return said.select("doc_id", "p_good", F.when(F.col("p_good") < KEEP, "drop").when(F.col("p_good") < REVIEW, "review").otherwise("keep").alias("verdict"), (F.col("p_good") >= KEEP).alias("keep"))

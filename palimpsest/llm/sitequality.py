@@ -61,7 +61,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     """
     text = F.col("text").cast("string")
     p = quality.scorer(docs.sparkSession, quality.fit(docs, labels))
-    blank = text.isNull() | (F.trim(text) == "")
+    blank = text.isNull() | ~text.rlike(r"\S")
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), p(text).alias("p"), blank.alias("blank"))
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("label"))
     units = F.round(F.when(F.col("blank"), 0.0).otherwise(F.col("p")) * SCALE).cast("long")
