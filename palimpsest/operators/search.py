@@ -83,10 +83,12 @@ def places(content: Column, query: Query) -> Column:
     if query.pattern:
         hits = F.slice(F.filter(rows, lambda r: r["line"].rlike(query.pattern)), 1, MOST_LINES)
         return F.transform(hits, lambda r: F.struct(r["line_no"].alias("line_no"), F.regexp_extract(r["line"], query.pattern, 0).alias("term"), text.byte_column(r["line"], query.pattern).alias("byte_column")))
-    out = []
-    for w in query.words:
-        at = F.get(F.filter(rows, lambda r, w=w: F.contains(r["line"], F.lit(w))), 0)
-        out.append(F.when(at.isNotNull(), F.struct(at["line_no"].alias("line_no"), F.lit(w).alias("term"), text.word_column(at["line"], w).alias("byte_column"))))
+
+    def first(word: str) -> Column:
+        at = F.get(F.filter(rows, lambda r: F.contains(r["line"], F.lit(word))), 0)
+        return F.when(at.isNotNull(), F.struct(at["line_no"].alias("line_no"), F.lit(word).alias("term"), text.word_column(at["line"], word).alias("byte_column")))
+
+    out = [first(w) for w in query.words]
     return F.array_sort(F.array_compact(F.array(*out))) if out else F.array().cast("array<struct<line_no:int,term:string,byte_column:int>>")
 
 

@@ -219,7 +219,7 @@ _regex("regex_class", CLASS)
 _regex("regex_alternation", "(?:é|ü)r+|qu[ae]nt")
 _regex("regex_repeat", "(?:an|en){2,4}d?")
 _regex("regex_case_insensitive", "(?i)license")
-_regex("regex_anchored", "^[A-Z]an.*and[.]?$", conversations, _C)
+_regex("regex_anchored", "^[A-Z]h.*and[^b]", conversations, _C)
 
 
 # ---- places, context, highlights -------------------------------------------------------------
