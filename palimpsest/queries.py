@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text
-from palimpsest.operators import index, search
+from palimpsest.functions import encoding, text
+from palimpsest.operators import index, lineage, search
 from palimpsest.plans.regex import Need
 from palimpsest.sources import history
+from palimpsest.sources.shared import new_folder
+from palimpsest.sources.store import Store
 from palimpsest.streaming.debounce import debounced
 
 WORDS, PATTERN, CLASS = ["und", "der"], "(?:re|un)d+|ü[a-m]s", "[a-c]nd"
@@ -303,3 +305,75 @@ def top_files(spark, sf_dir):
 @query("debounced_signals")
 def debounced_signals(spark, sf_dir):
     return debounced(read(spark, sf_dir, "events"), "user_id", "ts", 3600.0)
+
+
+# ---- lines, commits and provenance -----------------------------------------------------------
+
+
+@query("line_counts", _with(_V, _lines()) + "select path, commit_index, len(ll) as n_lines from ls")
+def line_counts(spark, sf_dir):
+    return documents(spark, sf_dir).where("content <> ''").select("path", "commit_index", F.size(text.lines("content")).alias("n_lines"))
+
+
+@query("modified_commits", _with(_D) + "select path, count(*) as n_commits, min(commit_index) as first_commit, max(commit_index) as last_commit, array_to_string(list_sort(list(commit_index)), ',') as commits from v group by path")
+def modified_commits(spark, sf_dir):
+    per = with_deletions(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n_commits"), F.min("commit_index").alias("first_commit"), F.max("commit_index").alias("last_commit"), F.array_sort(F.collect_set("commit_index")).alias("commits"))
+    return per.withColumn("commits", F.array_join(F.col("commits").cast("array<string>"), ","))
+
+
+@query("matched_terms", _with(_V, _lines(), _EACH, f"hit as (select path, regexp_extract(line, '{PATTERN}') as term, row_number() over (partition by path, commit_index order by line_no) as k from each_line where regexp_matches(line, '{PATTERN}'))") + "select path, array_to_string(list_sort(list(distinct term)), ',') as terms from hit where k <= 11 group by path")
+def matched_terms(spark, sf_dir):
+    q = search.pattern(PATTERN)
+    terms = search.matching(documents(spark, sf_dir), q).select("path", F.explode(F.transform(search.places(F.col("content"), q), lambda p: p["term"])).alias("term"))
+    return terms.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
+
+
+@query("commit_details", _with(_V, "s as (" + _SEEN.format(_both("und", "der")) + ")") + "select s.path, s.first_commit, s.last_commit, s.last_commit is not null and s.last_commit = (select max(doc_id) from documents) as is_head, d.lang, d.n_chars from s join documents d on d.doc_id = s.first_commit")
+def commit_details(spark, sf_dir):
+    found = search.first_last(search.matching(documents(spark, sf_dir), search.plain("und der")))
+    meta = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("first_commit"), "lang", "n_chars")
+    head = F.broadcast(meta.agg(F.max("first_commit").alias("head")))
+    return found.join(meta, "first_commit").crossJoin(head).select("path", "first_commit", "last_commit", F.coalesce(F.col("last_commit") == F.col("head"), F.lit(False)).alias("is_head"), "lang", "n_chars")
+
+
+@query("removed_tokens", _with(_C, _lines(), _EACH, _TOK, "n as (select path, commit_index, lead(commit_index) over (partition by path order by commit_index) as later from v)", "t as (select distinct path, commit_index, token from tok)") + "select t.path, n.later as commit_index, t.token from t join n on t.path = n.path and t.commit_index = n.commit_index and n.later is not null left join t u on u.path = t.path and u.commit_index = n.later and u.token = t.token where u.token is null")
+def removed_tokens(spark, sf_dir):
+    h = conversations(spark, sf_dir)
+    before = F.lag(text.tokens("content")).over(Window.partitionBy("path").orderBy("commit_index"))
+    return h.withColumn("had", before).where("had is not null").select("path", "commit_index", F.explode(F.array_except("had", text.tokens("content"))).alias("token"))
+
+
+@query("text_pages", "select page_id, true as is_text from pages where html is not null")
+def text_pages(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").where("html is not null")
+    return pages.select("page_id", encoding.is_text(F.col("html").cast("binary"), F.lit("page.html")).alias("is_text"))
+
+
+@query("stored_index_search", _with(_V) + _SEEN.format(_both("und", "der")))
+def stored_index_search(spark, sf_dir):
+    """Indexes the older half of the commits, then the newer, and searches the stored index."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("commit_index"), F.concat_ws("/", "lang", "source").alias("path"), F.col("text").alias("content"))
+    commits = docs.select("commit_index", F.col("commit_index").cast("string").alias("commit_id"), F.timestamp_seconds("commit_index").alias("commit_time"), F.col("path").alias("summary"))
+    middle = docs.agg(F.max("commit_index")).first()[0] // 2
+    store = Store(spark, new_folder(spark, "index"))
+    for part in (F.col("commit_index") <= middle, F.col("commit_index") > middle):
+        store.append(commits.where(part), docs.where(part))
+    q = search.plain("und der")
+    found = store.history().join(store.candidates(q.alternatives), "path", "left_semi")
+    return search.first_last(search.matching(found, q))
+
+
+@query("blame_lines")
+def blame_lines(spark, sf_dir):
+    return lineage.blame(documents(spark, sf_dir))
+
+
+@query("compat_presence")
+def compat_presence(spark, sf_dir):
+    rows = lineage.compat_index(conversations(spark, sf_dir))
+    return rows.select("path", "token", F.size("live").alias("n_live"), F.array_join(F.col("commits").cast("array<string>"), ",").alias("commits"), "is_deleted")
+
+
+@query("edit_stats")
+def edit_stats(spark, sf_dir):
+    return lineage.edit_stats(documents(spark, sf_dir))
