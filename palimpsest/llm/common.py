@@ -1,47 +1,22 @@
-"""Shared pieces: the shared folder for written tables, Arrow buffers as numpy, hashing of words."""
+"""Shared pieces: written tables in the shared folder, Arrow buffers as numpy, hashing of words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from palimpsest.sources.shared import shared_folder, written
+
+__all__ = ["CHUNK", "U64", "buffers", "grouped", "mix", "prefix_hash", "shared_folder", "word_hashes", "written"]
 
 U64 = np.uint64
 #: Bytes of text that the vectorised code handles at once; its temporaries are some 60 times this.
 CHUNK = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Unset: a temporary folder if the session runs on one machine (tests), else an error, since
-    a folder of one machine does not survive on a cluster.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = made.get() if made.isDefined() else None
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    at = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string array; a null counts as an empty text."""
     if isinstance(texts, pa.ChunkedArray):
