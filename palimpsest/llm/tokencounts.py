@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import written
+
 #: Where the ranks of a public byte-level vocabulary are, and the pattern that cuts texts before its merges.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -78,9 +80,10 @@ def token_counts(docs: DataFrame, ranks_path: str = RANKS, pattern: str = PATTER
     """suffix_sums() of the encoded lengths of all documents.
 
     Null and empty texts count with 0 tokens, repeated rows each count, an empty table gives no
-    rows, ties share a row. Only text is read, so other columns may have any name and nulls.
+    rows, ties share a row. Only text is read, so other columns may have any name and nulls. The
+    histogram is written once, as the sums read it twice and texts are encoded once.
     """
-    return suffix_sums(lengths(docs, ranks_path, pattern))
+    return suffix_sums(written(lengths(docs, ranks_path, pattern), "lengths"))
 
 
 def at_limits(sums: DataFrame, limits: DataFrame) -> DataFrame:
