@@ -85,11 +85,10 @@ class Engine:
     def hits(self, mode: str, query: str) -> DataFrame:
         """(path, first_match, last_match) as search.hits() gives them, found through the postings."""
         q = query_for(mode, query)
-        h = self.store.history()
+        changes = self.store.changes()
         pruned = self.store.candidates(q.alternatives)
-        if pruned is not None:
-            h = h.join(pruned, "path", "left_semi")
-        return search.hits(search.matching(h, q), q)
+        candidates = changes if pruned is None else changes.join(pruned, "path", "left_semi")
+        return search.hits(search.matching(candidates, q), q, changes, self.store.head_row())
 
     def detailed(self, found: DataFrame) -> DataFrame:
         """Hits with the id, date and summary of their commits, and file_path for path."""

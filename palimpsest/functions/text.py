@@ -21,6 +21,11 @@ def quoted(word: str) -> str:
     return "".join("\\" + c if c in r"\^$.|?*+()[]{}-&~#" else c for c in word)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: an expression that is used inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lines(content: Column | str) -> Column:
     """The lines of a text without their line ends; a last empty line is none. Null gives null, '' no lines."""
     c = F.replace(_col(content), F.lit("\r\n"), F.lit("\n"))

@@ -9,14 +9,14 @@ from palimpsest.functions import text
 from palimpsest.plans.regex import Need
 
 
-def version_tokens(versions: DataFrame) -> DataFrame:
-    """(path, commit_index, until, token): the distinct tokens of every version, distinct before anything is shuffled."""
-    return versions.where("content is not null").select("path", "commit_index", "until", F.explode(text.tokens("content")).alias("token"))
+def version_tokens(changes: DataFrame) -> DataFrame:
+    """(path, commit_index, token): the distinct tokens of every version, distinct before anything is shuffled."""
+    return changes.where("content is not null").select("path", "commit_index", F.explode(text.tokens("content")).alias("token"))
 
 
-def postings(versions: DataFrame) -> DataFrame:
+def postings(changes: DataFrame) -> DataFrame:
     """(token, path): files that ever held a token. Deletions take nothing away."""
-    return version_tokens(versions).select("token", "path").distinct()
+    return version_tokens(changes).select("token", "path").distinct()
 
 
 def dictionary(postings: DataFrame) -> DataFrame:
@@ -24,9 +24,9 @@ def dictionary(postings: DataFrame) -> DataFrame:
     return postings.select("token").distinct()
 
 
-def token_lines(versions: DataFrame) -> DataFrame:
+def token_lines(changes: DataFrame) -> DataFrame:
     """(path, commit_index, token, line_numbers): in which lines, counted from 0, a version has a token; sorted, each once."""
-    rows = versions.where("content is not null").select("path", "commit_index", F.posexplode(text.lines("content")).alias("line_no", "line"))
+    rows = changes.where("content is not null").select("path", "commit_index", F.posexplode(text.lines("content")).alias("line_no", "line"))
     each = rows.select("path", "commit_index", "line_no", F.explode(F.array_distinct(text.line_tokens("line"))).alias("token"))
     return each.groupBy("path", "commit_index", "token").agg(F.array_sort(F.collect_set("line_no")).alias("line_numbers"))
 
@@ -93,7 +93,7 @@ def candidate_files(postings: DataFrame, alternatives: list[list[Need]]) -> Data
     return met.where(_any_met(alternatives, needs, F.col("met"))).select("path")
 
 
-def candidate_versions(presence: DataFrame, versions: DataFrame, alternatives: list[list[Need]]) -> DataFrame | None:
+def candidate_versions(presence: DataFrame, changes: DataFrame, alternatives: list[list[Need]]) -> DataFrame | None:
     """(path, commit_index): versions at which tokens for all needs of some alternative are present; None if nothing can be pruned.
 
     Presence intervals meet versions by path and range, both of one file only.
@@ -101,7 +101,7 @@ def candidate_versions(presence: DataFrame, versions: DataFrame, alternatives: l
     if any(not a for a in alternatives):
         return None
     needs = list(dict.fromkeys(n for a in alternatives for n in a))
-    ids = versions.where("content is not null").select("path", "commit_index")
+    ids = changes.where("content is not null").select("path", "commit_index")
     if not needs:
         return ids.where(F.lit(False))
     held = with_needs(presence, needs).select("path", "from_commit", "to_commit", "met")

@@ -28,17 +28,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.versions(read(spark, sf_dir, "documents"), F.concat_ws("/", "lang", "source"), "doc_id", "text")
+    return history.changes(read(spark, sf_dir, "documents"), F.concat_ws("/", "lang", "source"), "doc_id", "text")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.versions(read(spark, sf_dir, "conversations"), F.col("conv_id").cast("string"), "turn", "text")
+    return history.changes(read(spark, sf_dir, "conversations"), F.col("conv_id").cast("string"), "turn", "text")
 
 
 def with_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic = read(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("toxic") > 0).alias("gone"))
     docs = read(spark, sf_dir, "documents").join(toxic, "doc_id", "left")
-    return history.versions(docs, F.concat_ws("/", "lang", "source"), "doc_id", "text", F.col("gone"))
+    return history.changes(docs, F.concat_ws("/", "lang", "source"), "doc_id", "text", F.col("gone"))
 
 
 
@@ -144,14 +144,14 @@ held as (select distinct t.path, t.token, n.n, n.commit_index, n.until from tok
 runs as (select *, n - row_number() over (partition by path, token order by n) as run from held)
 """) + "select path, token, min(commit_index) as from_commit, max(until) as to_commit from runs group by path, token, run")
 def presence_intervals(spark, sf_dir):
-    return index.presence(conversations(spark, sf_dir))
+    return index.presence(history.versions(conversations(spark, sf_dir)))
 
 
 @query("modified_or_head_commits", _with(_D) + """
 select path, commit_index, commit_index as since from v where content is not null
 union all select path, head, commit_index from v where content is not null and until > head and commit_index < head""")
 def modified_or_head_commits(spark, sf_dir):
-    return index.modified_or_head(with_deletions(spark, sf_dir))
+    return index.modified_or_head(history.versions(with_deletions(spark, sf_dir)))
 
 
 @query("changes", _with(_D) + "select path, commit_index, case when content is null then 'D' when lag(content) over (partition by path order by commit_index) is null then 'A' else 'M' end as change from v")
@@ -162,7 +162,7 @@ def changes(spark, sf_dir):
 
 @query("as_of_content", _with(_D, "w as (select distinct path, head - 100 as at from v)") + "select w.path, w.at as commit_index, v.content from w join v on v.path = w.path and v.commit_index <= w.at and w.at < v.until where v.content is not null")
 def as_of_content(spark, sf_dir):
-    v = with_deletions(spark, sf_dir)
+    v = history.versions(with_deletions(spark, sf_dir))
     return history.at_commit(v, v.select("path", (F.col("head") - 100).alias("commit_index")).distinct())
 
 
@@ -178,12 +178,13 @@ def _both(*words: str) -> str:
 def _plain(name: str, words: str, base=documents, v: str = _V):
     @query(name, _with(v) + _SEEN.format(_both(*words.split())))
     def run(spark, sf_dir):
-        return search.first_last(search.matching(base(spark, sf_dir), search.plain(words)))
+        h = base(spark, sf_dir)
+        return search.first_last(search.matching(h, search.plain(words)), h)
 
     @query(f"{name}_by_index", _with(v) + _SEEN.format(_both(*words.split())))
     def run_by_index(spark, sf_dir):
         h = base(spark, sf_dir)
-        return search.first_last(search.matching(h, search.plain(words), postings=index.version_tokens(h)))
+        return search.first_last(search.matching(h, search.plain(words), postings=index.version_tokens(h)), h)
 
 
 _plain("plain_one_word", "und")
@@ -197,7 +198,7 @@ _plain("deleted_file_history", "und", with_deletions, _D)
 @query("plain_by_presence", _with(_C) + _SEEN.format(_both("the", "and")))
 def plain_by_presence(spark, sf_dir):
     h = conversations(spark, sf_dir)
-    return search.first_last(search.matching(h, search.plain("the and"), presence=index.presence(h)))
+    return search.first_last(search.matching(h, search.plain("the and"), presence=index.presence(history.versions(h))), h)
 
 
 # ---- regular expressions ---------------------------------------------------------------------
@@ -208,12 +209,13 @@ def _regex(name: str, pattern: str, base=documents, v: str = _V):
 
     @query(name, sql)
     def run(spark, sf_dir):
-        return search.first_last(search.matching(base(spark, sf_dir), search.pattern(pattern)))
+        h = base(spark, sf_dir)
+        return search.first_last(search.matching(h, search.pattern(pattern)), h)
 
     @query(f"{name}_by_index", sql)
     def run_by_index(spark, sf_dir):
         h = base(spark, sf_dir)
-        return search.first_last(search.matching(h, search.pattern(pattern), postings=index.version_tokens(h)))
+        return search.first_last(search.matching(h, search.pattern(pattern), postings=index.version_tokens(h)), h)
 
 
 _regex("regex_literal", "er un")
@@ -288,18 +290,21 @@ def leftmost_first_words(spark, sf_dir):
 @query("search_hits")
 def search_hits(spark, sf_dir):
     q = search.pattern(PATTERN)
-    found = search.hits(search.matching(documents(spark, sf_dir), q), q)
+    h = documents(spark, sf_dir)
+    found = search.hits(search.matching(h, q), q, h)
     return found.select("path", F.to_json("first_match").alias("first_match"), F.to_json("last_match").alias("last_match"))
 
 
 @query("search_page", _with(_V) + _SEEN.format(_both("und", "der")) + " order by path limit 10 offset 10")
 def search_page(spark, sf_dir):
-    return search.page(search.first_last(search.matching(documents(spark, sf_dir), search.plain("und der"))), 1, 10)
+    h = documents(spark, sf_dir)
+    return search.page(search.first_last(search.matching(h, search.plain("und der")), h), 1, 10)
 
 
 @query("top_files", _with(_V) + _SEEN.format(_both("und")) + " order by path limit 10")
 def top_files(spark, sf_dir):
-    return search.page(search.first_last(search.matching(documents(spark, sf_dir), search.plain("und"))), 0, 10)
+    h = documents(spark, sf_dir)
+    return search.page(search.first_last(search.matching(h, search.plain("und")), h), 0, 10)
 
 
 @query("debounced_signals")
@@ -330,7 +335,8 @@ def matched_terms(spark, sf_dir):
 
 @query("commit_details", _with(_V, "s as (" + _SEEN.format(_both("und", "der")) + ")") + "select s.path, s.first_commit, s.last_commit, s.last_commit is not null and s.last_commit = (select max(doc_id) from documents) as is_head, d.lang, d.n_chars from s join documents d on d.doc_id = s.first_commit")
 def commit_details(spark, sf_dir):
-    found = search.first_last(search.matching(documents(spark, sf_dir), search.plain("und der")))
+    h = documents(spark, sf_dir)
+    found = search.first_last(search.matching(h, search.plain("und der")), h)
     meta = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("first_commit"), "lang", "n_chars")
     head = F.broadcast(meta.agg(F.max("first_commit").alias("head")))
     return found.join(meta, "first_commit").crossJoin(head).select("path", "first_commit", "last_commit", F.coalesce(F.col("last_commit") == F.col("head"), F.lit(False)).alias("is_head"), "lang", "n_chars")
@@ -359,8 +365,8 @@ def stored_index_search(spark, sf_dir):
     for part in (F.col("commit_index") <= middle, F.col("commit_index") > middle):
         store.append(commits.where(part), docs.where(part))
     q = search.plain("und der")
-    found = store.history().join(store.candidates(q.alternatives), "path", "left_semi")
-    return search.first_last(search.matching(found, q))
+    found = store.changes().join(store.candidates(q.alternatives), "path", "left_semi")
+    return search.first_last(search.matching(found, q), store.changes(), store.head_row())
 
 
 @query("blame_lines")
@@ -370,7 +376,7 @@ def blame_lines(spark, sf_dir):
 
 @query("compat_presence")
 def compat_presence(spark, sf_dir):
-    rows = lineage.compat_index(conversations(spark, sf_dir))
+    rows = lineage.compat_index(history.versions(conversations(spark, sf_dir)))
     return rows.select("path", "token", F.size("live").alias("n_live"), F.array_join(F.col("commits").cast("array<string>"), ",").alias("commits"), "is_deleted")
 
 

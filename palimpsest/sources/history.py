@@ -1,4 +1,4 @@
-"""Histories as tables of file versions: (path, commit_index, content, until)."""
+"""Histories as tables of file changes (path, commit_index, content), and of versions with the commits in which they hold."""
 
 from __future__ import annotations
 
@@ -6,19 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def versions(table: DataFrame, path: Column | str, commit: Column | str, content: Column | str, deleted: Column | None = None) -> DataFrame:
-    """(path, commit_index, content, until) for every row of a table that says what a file became in a commit.
+def changes(table: DataFrame, path: Column | str, commit: Column | str, content: Column | str, deleted: Column | None = None) -> DataFrame:
+    """(path, commit_index, content) for every row of a table that says what a file became in a commit.
 
-    A version holds from commit_index up to but not including ``until``: the commit that next
-    changes the file, or head + 1. A null content, or a true ``deleted``, is a deletion: it ends
-    the version before and has a null content itself. Rows without path or commit are left out.
+    A null content, or a true ``deleted``, is a deletion and has a null content. Rows without path
+    or commit are left out. Only columns are chosen, so a search reads no more than it needs.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     text = col(content) if deleted is None else F.when(F.coalesce(deleted, F.lit(False)), F.lit(None)).otherwise(col(content))
-    rows = table.select(col(path).cast("string").alias("path"), col(commit).cast("long").alias("commit_index"), text.cast("string").alias("content")).where("path is not null and commit_index is not null")
-    head = rows.agg(F.max("commit_index").alias("head"))
+    return table.select(col(path).cast("string").alias("path"), col(commit).cast("long").alias("commit_index"), text.cast("string").alias("content")).where("path is not null and commit_index is not null")
+
+
+def head_of(changes: DataFrame) -> DataFrame:
+    """One row (head): the last commit that changed anything."""
+    return changes.agg(F.max("commit_index").alias("head"))
+
+
+def versions(changes: DataFrame, head: DataFrame | None = None) -> DataFrame:
+    """(path, commit_index, content, until, head): changes with the time they hold.
+
+    A version holds from commit_index up to but not including ``until``: the commit that next
+    changes the file, or head + 1. A deletion ends the version before it.
+    """
     following = F.lead("commit_index").over(Window.partitionBy("path").orderBy("commit_index"))
-    return rows.withColumn("__next", following).crossJoin(F.broadcast(head)).select("path", "commit_index", "content", F.coalesce("__next", F.col("head") + 1).alias("until"), "head")
+    return changes.withColumn("__next", following).crossJoin(F.broadcast(head_of(changes) if head is None else head)).select("path", "commit_index", "content", F.coalesce("__next", F.col("head") + 1).alias("until"), "head")
 
 
 def change(versions: DataFrame) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
@@ -74,11 +74,13 @@ class Store:
         self.spark.createDataFrame([(n,)], "batch long").coalesce(1).write.mode("append").parquet(f"{self.folder}/done")
         return n
 
-    def history(self) -> DataFrame:
-        """The versions with until and head, as history.versions() gives them."""
-        head = self.table("commits").agg(F.max("commit_index").alias("head"))
-        following = F.lead("commit_index").over(Window.partitionBy("path").orderBy("commit_index"))
-        return self.table("versions").withColumn("__next", following).crossJoin(F.broadcast(head)).select("path", "commit_index", "content", F.coalesce("__next", F.col("head") + 1).alias("until"), "head")
+    def changes(self) -> DataFrame:
+        """(path, commit_index, content) of all commits."""
+        return self.table("versions")
+
+    def head_row(self) -> DataFrame:
+        """One row (head), which may be a commit that changed no file."""
+        return self.table("commits").agg(F.max("commit_index").alias("head"))
 
     def postings(self, tokens: list[str] | None = None) -> DataFrame:
         """(token, path); with tokens only those, read from the directories of their buckets."""

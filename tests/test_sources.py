@@ -74,7 +74,7 @@ def test_merges_count_as_one_commit_in_the_replayed_index(spark, tmp_path):
     r("merge", "-q", "--no-ff", "-m", "2", "side")
     gitlog.register(spark)
     rows = spark.read.format("git_history").option("path", str(r.folder)).load()
-    got = {(x["path"], x["token"]): x["commits"] for x in lineage.compat_index(history.versions(rows, "path", "commit_index", F.col("content").cast("string"))).collect()}
+    got = {(x["path"], x["token"]): x["commits"] for x in lineage.compat_index(history.versions(history.changes(rows, "path", "commit_index", F.col("content").cast("string")))).collect()}
     assert got == {("file1", "a"): [0], ("file1", "c"): [2], ("file2", "x"): [1, 2]}
 
 
@@ -134,7 +134,7 @@ def test_stream_of_commits(spark, repo, tmp_path):
         q.stop()
         repo.commit("later", z__txt="later")
     assert said == [4, 5]
-    assert Store(spark, f"file://{tmp_path}/index").history().where("path = 'z.txt'").count() == 1
+    assert Store(spark, f"file://{tmp_path}/index").changes().where("path = 'z.txt'").count() == 1
 
 
 def test_http(spark, repo, tmp_path):
