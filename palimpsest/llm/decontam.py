@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +41,18 @@ class WuManber:
                     self.shift[block] = far
             self.bucket.setdefault(p[self.least - self.block : self.least], []).append(k)
 
+    def holds(self, text: bytes) -> bool:
+        """Whether any pattern occurs in text."""
+        return next(self.occurrences(text), None) is not None
+
     def find(self, text: bytes) -> set[int]:
         """Indexes of the patterns that occur in text."""
+        return set(self.occurrences(text))
+
+    def occurrences(self, text: bytes) -> Iterator[int]:
+        """The index of a pattern for each place where it occurs."""
         least, block, shift, bucket, patterns = self.least, self.block, self.shift.get, self.bucket, self.patterns
-        most, at, n, out = least - block + 1, least, len(text), set()
+        most, at, n = least - block + 1, least, len(text)
         while at <= n:
             tail = text[at - block : at]
             far = shift(tail, most)
@@ -51,9 +61,8 @@ class WuManber:
                 continue
             for k in bucket[tail]:
                 if text.startswith(patterns[k], at - least):
-                    out.add(k)
+                    yield k
             at += 1
-        return out
 
 
 def test_strings(items: list[tuple[int, str]], run: int = RUN) -> dict[bytes, list[int]]:
@@ -67,11 +76,16 @@ def test_strings(items: list[tuple[int, str]], run: int = RUN) -> dict[bytes, li
     return {k: sorted(v) for k, v in out.items()}
 
 
+def _tables(strings) -> list[WuManber]:
+    """One set of tables for each class of pattern lengths, so that short test strings don't make all shifts short."""
+    patterns = list(strings)
+    return [WuManber(g) for g in ([p for p in patterns if len(p) >= 24], [p for p in patterns if 8 <= len(p) < 24], [p for p in patterns if len(p) < 8]) if g]
+
+
 def _scan(shared):
     def scan(batches):
         strings = shared.value
-        patterns = list(strings)
-        tables = [WuManber(g) for g in ([p for p in patterns if len(p) >= 24], [p for p in patterns if 8 <= len(p) < 24], [p for p in patterns if len(p) < 8]) if g]
+        tables = _tables(strings)
         for batch in batches:
             docs, items, runs = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -89,6 +103,17 @@ def _scan(shared):
     return scan
 
 
+def _slices(benchmark: DataFrame) -> Iterator[dict[bytes, list[int]]]:
+    """The test strings of the benchmark in dictionaries for at most about SLICE_BYTES of text each, made one after the other."""
+    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), normal(F.col("text").cast("string")).alias("text")).where("item_id is not null and text is not null and length(text) > 2")
+    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(1, -(-total // SLICE_BYTES))
+    for k in range(slices):
+        part = tests if slices == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
+        if strings := test_strings([(r[0], r[1]) for r in part.collect()]):
+            yield strings
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, runs): documents that hold test strings of benchmark items, and how many different ones.
 
@@ -103,30 +128,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text").cast("string")).alias("text")).where("text is not null and length(text) > 2")
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), normal(F.col("text").cast("string")).alias("text")).where("item_id is not null and text is not null and length(text) > 2")
-    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-total // SLICE_BYTES))
     found = None
-    for k in range(slices):
-        part = tests if slices == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
-        strings = test_strings([(r[0], r[1]) for r in part.collect()])
-        if strings:
-            hits = texts.mapInArrow(_scan(spark.sparkContext.broadcast(strings)), "doc_id long, item_id long, runs int")
-            found = hits if found is None else found.unionByName(hits)
+    for strings in _slices(benchmark):
+        hits = texts.mapInArrow(_scan(spark.sparkContext.broadcast(strings)), "doc_id long, item_id long, runs int")
+        found = hits if found is None else found.unionByName(hits)
     return spark.createDataFrame([], "doc_id long, item_id long, runs int") if found is None else found
 
 
+def _holder(shared):
+    """An Arrow UDF: whether a normalised text holds any test string; null for null."""
+    made: list[list[WuManber]] = []
+
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(_tables(shared.value))
+        return pa.array([t.is_valid and any(table.holds(t.as_buffer().to_pybytes()) for table in made[0]) for t in texts], pa.bool_())
+
+    return holds
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a test string of the benchmark; rows without doc_id stay unless they hold one.
+    """docs without the rows whose text holds a test string of the benchmark; the columns of docs.
 
-    The documents to drop are few against the corpus; Spark broadcasts them if they are small and joins by doc_id else.
+    Each row is judged where it is read, so nothing is shuffled or joined, and ids don't matter:
+    rows without doc_id, repeated rows and rows that share a doc_id are judged by their own texts.
+    Null and wordless texts stay.
     """
-    spark = docs.sparkSession
-    hits = contaminated(docs.where("doc_id is not null"), benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    kept = docs.where("doc_id is not null").join(hits, F.col("doc_id").cast("long") == F.col("__hit"), "left_anti")
-    nameless = docs.where("doc_id is null")
-    if not nameless.take(1):
-        return kept
-    numbered = nameless.withColumn("__n", F.xxhash64(F.col("text")))
-    bad = contaminated(numbered.select(F.col("__n").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    return kept.unionByName(numbered.join(bad, F.col("__n") == F.col("__hit"), "left_anti").drop("__n"))
+    kept = docs
+    for strings in _slices(benchmark):
+        holds = _holder(docs.sparkSession.sparkContext.broadcast(strings))
+        kept = kept.where(~F.coalesce(holds(normal(F.col("text").cast("string"))), F.lit(False)))
+    return kept
