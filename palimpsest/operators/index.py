@@ -31,6 +31,14 @@ def token_lines(changes: DataFrame) -> DataFrame:
     return each.groupBy("path", "commit_index", "token").agg(F.array_sort(F.collect_set("line_no")).alias("line_numbers"))
 
 
+def token_stats(changes: DataFrame) -> DataFrame:
+    """(token, n_lines, n_files): in how many lines of all versions, and in how many files, each token is; counts are added up before they are shuffled."""
+    rows = changes.where("content is not null").select("path", F.explode(text.lines("content")).alias("line"))
+    each = rows.select("path", F.explode(F.array_distinct(text.line_tokens("line"))).alias("token"))
+    per_file = each.groupBy("token", "path").agg(F.count("*").alias("n"))
+    return per_file.groupBy("token").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_files"))
+
+
 def presence(versions: DataFrame) -> DataFrame:
     """(path, token, from_commit, to_commit): maximal intervals of commits, the end excluded, in which a file has a token.
 

@@ -105,17 +105,21 @@ class Token:
 
 @dataclass
 class Replay:
-    """The state of one file: its lines and their origins, its tokens, the commits that changed it."""
+    """The state of one file: its lines and their origins, its tokens (if indexed), the commits that changed it."""
 
     lines: list[str] = field(default_factory=list)
     pieces: Pieces = field(default_factory=Pieces)
     tokens: dict[str, Token] = field(default_factory=dict)
     modified: set[int] = field(default_factory=set)
     deleted: bool = False
+    indexed: bool = True
 
     def _remove(self, commit: int, line: int, old: list[str]) -> None:
         self.modified.add(commit)
-        places = [(c, k) for c, a, b in self.pieces.delete(line, len(old)) for k in range(a, b)]
+        spans = self.pieces.delete(line, len(old))
+        if not self.indexed:
+            return
+        places = [(c, k) for c, a, b in spans for k in range(a, b)]
         gone: dict[str, set[Place]] = {}
         for place, content in zip(places, old):
             for t in text.literal_tokens(content):
@@ -156,7 +160,7 @@ class Replay:
         """Lines that come before the present line ``at`` and are from ``line`` on in the new version."""
         self.pieces.add(at, len(new), (commit, line))
         self.modified.add(commit)
-        for k, content in enumerate(new):
+        for k, content in enumerate(new if self.indexed else ()):
             for t in text.literal_tokens(content):
                 token = self.tokens.setdefault(t, Token())
                 token.live.add((commit, line + k))
@@ -174,7 +178,7 @@ COMPAT = "path string, token string, live array<struct<intro_commit:long,intro_l
 
 
 def _replayed(rows: pd.DataFrame, head: int | None = None) -> Replay:
-    r = Replay()
+    r = Replay(indexed=head is not None)
     for commit, content in rows.sort_values("commit_index")[["commit_index", "content"]].itertuples(index=False):
         r.step(int(commit), None if content is None or content != content else content)
     if head is not None:

@@ -86,9 +86,7 @@ _TOKENS = (_V, _lines(), _EACH, _TOK)
 
 @query("token_counts", _with(*_TOKENS) + "select token, count(*) as n_lines, count(distinct path) as n_files from (select distinct path, commit_index, line_no, token from tok) group by token")
 def token_counts(spark, sf_dir):
-    t = index.token_lines(documents(spark, sf_dir))
-    per_file = t.groupBy("token", "path").agg(F.sum(F.size("line_numbers")).alias("n"))
-    return per_file.groupBy("token").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_files"))
+    return index.token_stats(documents(spark, sf_dir))
 
 
 @query("token_dictionary", _with(*_TOKENS) + "select distinct token from tok")
