@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words of a test string; items with fewer are one test string.
 RUN = 8
-#: Bytes of benchmark text for which one set of tables is built; larger benchmarks are searched slice by slice.
-SLICE_BYTES = 8_000_000
+#: Bytes of benchmark text for which one set of tables is built, which bounds a worker's memory; larger benchmarks are searched slice by slice.
+SLICE_BYTES = 1_000_000
 
 
 def normal(text) -> F.Column:
@@ -26,19 +27,24 @@ class WuManber:
     text. Its last block of bytes says how far it can move: the least distance at which that block
     ends within the first ``least`` bytes of a pattern. At distance 0 the block selects a bucket,
     and each of its patterns is compared directly.
+
+    Shifts are one byte each in a table indexed by a hash of the block; blocks that share a slot
+    have the least of their shifts, which is never too far. So a pattern costs a few hundred bytes.
     """
 
     def __init__(self, patterns: list[bytes]):
         self.least = min(64, min(map(len, patterns)))
         self.block = max(1, min(12, self.least // 2))
-        self.shift: dict[bytes, int] = {}
-        self.bucket: dict[bytes, list[int]] = {}
         self.patterns = patterns
+        self.bucket: dict[bytes, list[int]] = {}
+        most = self.least - self.block + 1
+        self.mask = (1 << min(26, max(12, (8 * most * len(patterns)).bit_length()))) - 1
+        self.shift = bytearray([most]) * (self.mask + 1)
         for k, p in enumerate(patterns):
             for end in range(self.block, self.least + 1):
-                block, far = p[end - self.block : end], self.least - end
-                if self.shift.get(block, far) >= far:
-                    self.shift[block] = far
+                slot, far = hash(p[end - self.block : end]) & self.mask, self.least - end
+                if self.shift[slot] > far:
+                    self.shift[slot] = far
             self.bucket.setdefault(p[self.least - self.block : self.least], []).append(k)
 
     def holds(self, text: bytes) -> bool:
@@ -51,15 +57,15 @@ class WuManber:
 
     def occurrences(self, text: bytes) -> Iterator[int]:
         """The index of a pattern for each place where it occurs."""
-        least, block, shift, bucket, patterns = self.least, self.block, self.shift.get, self.bucket, self.patterns
-        most, at, n = least - block + 1, least, len(text)
+        least, block, shift, mask, bucket, patterns = self.least, self.block, self.shift, self.mask, self.bucket.get, self.patterns
+        at, n = least, len(text)
         while at <= n:
             tail = text[at - block : at]
-            far = shift(tail, most)
+            far = shift[hash(tail) & mask]
             if far:
                 at += far
                 continue
-            for k in bucket[tail]:
+            for k in bucket(tail, ()):
                 if text.startswith(patterns[k], at - least):
                     yield k
             at += 1
@@ -76,16 +82,28 @@ def test_strings(items: list[tuple[int, str]], run: int = RUN) -> dict[bytes, li
     return {k: sorted(v) for k, v in out.items()}
 
 
-def _tables(strings) -> list[WuManber]:
-    """One set of tables for each class of pattern lengths, so that short test strings don't make all shifts short."""
-    patterns = list(strings)
+_made: dict[str, list[WuManber]] = {}
+
+
+def _tables(name: str, strings) -> list[WuManber]:
+    """One set of tables for each class of pattern lengths, so that short test strings don't make all shifts short; a worker keeps those it used last."""
+    if name not in _made:
+        while len(_made) >= 2:
+            _made.pop(next(iter(_made)))
+        _made[name] = _built(list(strings))
+    return _made[name]
+
+
+def _built(patterns: list[bytes]) -> list[WuManber]:
     return [WuManber(g) for g in ([p for p in patterns if len(p) >= 24], [p for p in patterns if 8 <= len(p) < 24], [p for p in patterns if len(p) < 8]) if g]
 
 
 def _scan(shared):
+    name = uuid.uuid4().hex
+
     def scan(batches):
         strings = shared.value
-        tables = _tables(strings)
+        tables = _tables(name, strings)
         for batch in batches:
             docs, items, runs = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -137,13 +155,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _holder(shared):
     """An Arrow UDF: whether a normalised text holds any test string; null for null."""
-    made: list[list[WuManber]] = []
+    name = uuid.uuid4().hex
 
     @F.arrow_udf("boolean")
     def holds(texts: pa.Array) -> pa.Array:
-        if not made:
-            made.append(_tables(shared.value))
-        return pa.array([t.is_valid and any(table.holds(t.as_buffer().to_pybytes()) for table in made[0]) for t in texts], pa.bool_())
+        tables = _tables(name, shared.value)
+        return pa.array([t.is_valid and any(table.holds(t.as_buffer().to_pybytes()) for table in tables) for t in texts], pa.bool_())
 
     return holds
 
