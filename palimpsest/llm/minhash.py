@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import U64, buffers, grouped, mix, word_hashes, written
@@ -160,15 +160,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the documents that near_duplicates() pairs with an earlier one; one of each group stays.
 
-    Of rows that agree in doc_id and text one stays. Rows without doc_id stay. Columns as in docs.
+    Of rows that agree in doc_id and text one stays, nulls being equal. Rows without doc_id are in
+    no group. Columns as in docs.
+
+    What goes is written first, so that Spark knows its size when it joins: texts are shuffled only
+    if that is too large to broadcast, and if no row is repeated they are read just once.
     """
-    from pyspark.sql import Window
-
-    copies = near_duplicates(docs).select(F.col("doc_id").alias("__copy")).distinct()
-    one = Window.partitionBy("doc_id", F.xxhash64(F.col("text"))).orderBy(F.lit(1))
-    return (
-        docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
-        .withColumn("__nth", F.row_number().over(one))
-        .where(F.col("__nth") == 1)
-        .drop("__nth")
-    )
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    copies = written(near_duplicates(docs).select(F.col("doc_id").alias("__copy")).distinct(), "copies")
+    repeated = written(docs.select(row.alias("__key")).groupBy("__key").agg(F.count("*").alias("__n")).where("__n > 1").select("__key"), "repeated")
+    kept = docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy"), "left_anti")
+    if not repeated.take(1):
+        return kept
+    keyed = kept.withColumn("__row", row)
+    one = Window.partitionBy("__row", "doc_id", "text").orderBy(F.lit(1))
+    again = keyed.join(repeated, F.col("__row") == F.col("__key"), "left_semi").withColumn("__nth", F.row_number().over(one)).where("__nth = 1").drop("__nth")
+    return keyed.join(repeated, F.col("__row") == F.col("__key"), "left_anti").unionByName(again).drop("__row")
