@@ -38,9 +38,36 @@ class Store:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def batches(self) -> list[int]:
+        """The numbers of the visible batches: those from the last compacted one on."""
         if not self._exists("done"):
             return []
-        return sorted(r["batch"] for r in self.spark.read.schema("batch long").parquet(f"{self.folder}/done").distinct().collect())
+        rows = self.spark.read.schema("batch long, whole boolean").parquet(f"{self.folder}/done").distinct().collect()
+        first = max((r["batch"] for r in rows if r["whole"]), default=0)
+        return sorted({r["batch"] for r in rows if r["batch"] >= first})
+
+    def _next(self) -> int:
+        return (self.batches() or [-1])[-1] + 1
+
+    def _seal(self, n: int, whole: bool = False) -> None:
+        self.spark.createDataFrame([(n, whole)], "batch long, whole boolean").coalesce(1).write.mode("append").parquet(f"{self.folder}/done")
+
+    def _write_postings(self, pairs: DataFrame, at: str) -> None:
+        """(token, path) pairs in ranges of one size, so that a token in most files is many tasks' work, and sorted, so that a reader skips what is not its token."""
+        pairs.distinct().withColumn("bucket", bucket(F.col("token"))).repartitionByRange("bucket", "token", "path").sortWithinPartitions("bucket", "token", "path").write.mode("overwrite").partitionBy("bucket").parquet(at)
+
+    def compact(self) -> int | None:
+        """Writes all visible batches as one, which replaces them; the batch, or None if there is at most one.
+
+        Many small appends leave many small files; readers see either the old batches or the new one.
+        """
+        if len(self.batches()) < 2:
+            return None
+        n = self._next()
+        for name in ("commits", "versions"):
+            self.table(name).select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={n}")
+        self._write_postings(self.table("postings").select("token", "path"), f"{self.folder}/postings/batch={n}")
+        self._seal(n, True)
+        return n
 
     def table(self, name: str) -> DataFrame:
         """All visible rows of a table; without any batch an empty one."""
@@ -63,15 +90,14 @@ class Store:
         new = commits.select(*[F.col(c) for c in ("commit_index", "commit_id", "commit_time", "summary")]).dropDuplicates(["commit_id"]).join(known, "commit_id", "left_anti").select("commit_index", "commit_id", "commit_time", "summary")
         if not new.take(1):
             return None
-        n = (self.batches() or [-1])[-1] + 1
+        n = self._next()
         at = lambda name: f"{self.folder}/{name}/batch={n}"
         new.write.mode("overwrite").parquet(at("commits"))
         wanted = self.spark.read.schema(TABLES["commits"]).parquet(at("commits")).select("commit_index")
         changes.where("path is not null").select("path", "commit_index", "content").join(wanted, "commit_index", "left_semi").select("path", "commit_index", "content").write.mode("overwrite").parquet(at("versions"))
         rows = self.spark.read.schema(TABLES["versions"]).parquet(at("versions")).where("content is not null")
-        tokens = rows.select(F.explode(text.tokens("content")).alias("token"), "path").distinct().withColumn("bucket", bucket(F.col("token")))
-        tokens.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
-        self.spark.createDataFrame([(n,)], "batch long").coalesce(1).write.mode("append").parquet(f"{self.folder}/done")
+        self._write_postings(rows.select(F.explode(text.tokens("content")).alias("token"), "path"), at("postings"))
+        self._seal(n)
         return n
 
     def changes(self) -> DataFrame:

@@ -113,6 +113,19 @@ def test_index_grows_and_answers_stay_exact(spark, repo, tmp_path):
     assert "never" not in text and "\x1b[31mfoo\x1b[0m" in text and text.splitlines()[1].startswith("     1| ")
 
 
+def test_compaction_changes_no_answer(spark, repo, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/index")
+    assert store.compact() is None
+    for k in range(3):
+        reindex.reindex_from(spark, str(repo.folder), store.folder)
+        repo.commit("more", **{f"n{k}__txt": f"foo {k}"})
+    tables = lambda: {t: sorted(map(str, store.table(t).distinct().collect())) for t in ("commits", "versions", "postings")}
+    before = tables()
+    assert store.batches() == [0, 1, 2] and store.compact() == 3 and store.batches() == [3]
+    assert tables() == before
+    assert reindex.reindex_from(spark, str(repo.folder), store.folder) == 4 and store.batches() == [3, 4]
+
+
 def test_half_written_batches_are_not_seen(spark, repo, tmp_path):
     store = Store(spark, f"file://{tmp_path}/index")
     reindex.reindex_from(spark, str(repo.folder), store.folder)
