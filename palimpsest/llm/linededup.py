@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import grouped
+from palimpsest.llm.common import written
 
 #: A common block goes if its lines hold this many characters other than white space.
 BLOCK_CHARS = 20
@@ -130,38 +130,70 @@ def _aligned(lines: list[tuple[list[int], list[int], int]]) -> set[int]:
     return out
 
 
-def _deletions(batches):
-    docs, rks, masks = [], [], []
-    for group in grouped(batches, "rk"):
-        rows = group.to_pydict()
-        for doc_id in sorted(set(rows["doc_id"])):
-            chars: dict[int, int] = {}
-            partners: dict[tuple[int, int], list] = {}
-            for d, at, e, erk, eat, c in zip(rows["doc_id"], rows["at"], rows["first_id"], rows["first_rk"], rows["first_at"], rows["chars"]):
-                if d == doc_id:
-                    partners.setdefault((e, erk), []).append((at, eat, c))
-                    chars |= dict.fromkeys(at, c)
-            gone: set[int] = set()
-            for shared in partners.values():
-                gone |= _aligned(shared)
-            out: list[int] = []
-            run: list[int] = []
-            for i in [*sorted(gone), -1]:
-                if run and i != run[-1] + 1:
-                    if sum(chars[j] for j in run) >= BLOCK_CHARS:
-                        out += run
-                    run = []
-                run.append(i)
+def _filtered(lines: set[int], chars: dict[int, int]) -> list[int]:
+    """Those of the lines that lie in runs of consecutive ones with at least BLOCK_CHARS characters."""
+    out: list[int] = []
+    run: list[int] = []
+    for i in [*sorted(lines), -1]:
+        if run and i != run[-1] + 1:
+            if sum(chars[j] for j in run) >= BLOCK_CHARS:
+                out += run
+            run = []
+        run.append(i)
+    return out
+
+
+_ROW_SCHEMA = "doc_id long, rk long, sig binary, h array<long>, at array<array<int>>, chars array<int>, held array<boolean>, sure array<boolean>, seeks array<boolean>"
+
+
+def _rows(batches):
+    """Of each row its shared lines: sig stands for their sequence; held lines stand in an earlier document; sure ones go
+    in any case; seeks marks those of which only alignments tell."""
+    for batch in batches:
+        out: dict[str, list] = {k: [] for k in ("sig", "h", "at", "chars", "held", "sure", "seeks")}
+        for doc_id, lines in zip(batch.column("doc_id").to_pylist(), batch.column("lines").to_pylist()):
+            lines.sort(key=lambda x: x["at"])
+            sequence = sorted((i, x["h"]) for x in lines for i in x["at"])
+            out["sig"].append(xxhash.xxh3_128_digest(np.array([h for _, h in sequence], np.int64).tobytes()))
+            held = [x["first_id"] < doc_id for x in lines]
+            chars = {i: x["chars"] for x, y in zip(lines, held) if y for i in x["at"]}
+            able = set(_filtered(set(chars), chars))
+            sure = [len(x["at"]) == 1 and x["chars"] >= BLOCK_CHARS and x["once_id"] is not None and x["once_id"] < doc_id for x in lines]
+            out["seeks"].append([y and not z and not able.isdisjoint(x["at"]) for x, y, z in zip(lines, held, sure)])
+            out["h"].append([x["h"] for x in lines])
+            out["at"].append([x["at"] for x in lines])
+            out["chars"].append([x["chars"] for x in lines])
+            out["held"].append(held)
+            out["sure"].append(sure)
+        types = {"sig": pa.binary(), "h": pa.list_(pa.int64()), "at": pa.list_(pa.list_(pa.int32())), "chars": pa.list_(pa.int32())}
+        yield pa.record_batch([batch.column("doc_id"), batch.column("rk"), *(pa.array(v, types.get(k, pa.list_(pa.bool_()))) for k, v in out.items())], names=["doc_id", "rk", *out])
+
+
+def _pairs(batches):
+    for batch in batches:
+        gone = []
+        for h, at, chars, eh, eat in zip(*(batch.column(k).to_pylist() for k in ("h", "at", "chars", "eh", "eat"))):
+            other = dict(zip(eh, eat))
+            gone.append(sorted(_aligned([(x, other[k], c) for k, x, c in zip(h, at, chars) if k in other])))
+        yield pa.record_batch([batch.column("doc_id"), batch.column("rk"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "rk", "lines"])
+
+
+def _masks(batches):
+    for batch in batches:
+        docs, rks, masks = [], [], []
+        names = ("doc_id", "rk", "copy", "at", "chars", "held", "sure", "h", "most", "aligned")
+        for doc_id, rk, copy, at, chars, held, sure, h, most, aligned in zip(*(batch.column(k).to_pylist() for k in names)):
+            counts = {x["h"]: x["m"] for x in most or ()}
+            gone = set(aligned or ())
+            for k, x, y, z in zip(h, at, held, sure):
+                gone.update(x if copy or z else x[: counts.get(k, 0)] if y else ())
+            out = _filtered(gone, {i: c for x, c in zip(at, chars) for i in x})
             if out:
                 mask = np.zeros(out[-1] + 1, bool)
                 mask[out] = True
                 docs.append(doc_id)
-                rks.append(group.column("rk")[0].as_py())
+                rks.append(rk)
                 masks.append(mask.tolist())
-        if len(docs) > 2000:
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(rks, pa.int64()), pa.array(masks, pa.list_(pa.bool_()))], names=["id", "key", "gone"])
-            docs, rks, masks = [], [], []
-    if docs:
         yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(rks, pa.int64()), pa.array(masks, pa.list_(pa.bool_()))], names=["id", "key", "gone"])
 
 
@@ -170,36 +202,58 @@ def _row_key() -> F.Column:
 
 
 def common_blocks(docs: DataFrame) -> DataFrame:
-    """(id, key, gone): for documents that lose lines, a mask over their lines; key is xxhash64 of id and text."""
+    """(id, key, gone): for documents that lose lines, a mask over their lines; key is xxhash64 of id and text.
+
+    The result is that of aligning each document with every earlier one that shares a line. Only these pairs are formed:
+    - of rows with the same sequence of shared lines, the first is a partner for all; the later ones lose them all;
+    - a line of BLOCK_CHARS characters that stands once here and once in an earlier document goes in any case, and one
+      in a run of held lines that is too short never does; partners are sought for other lines only;
+    - a partner with one common line takes its first occurrences, as many as it has itself.
+    """
     lines = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("rk"), F.col("text").cast("string").alias("text"))
         .where("doc_id is not null and text is not null and text <> ''")
         .mapInArrow(_lines, _LINE_SCHEMA)
     )
-    firsts = (
-        lines.groupBy("h").agg(F.min(F.struct("doc_id", "rk", "at")).alias("first"), F.max("doc_id").alias("last"))
-        .where("first.doc_id < last")
-        .select("h", F.col("first.doc_id").alias("first_id"), F.col("first.rk").alias("first_rk"), F.col("first.at").alias("first_at"))
+    known = (
+        lines.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.min(F.when(F.size("at") == 1, F.col("doc_id"))).alias("once_id"))
+        .where("first_id < last_id").drop("last_id")
     )
-    shared = lines.join(firsts, "h").where("doc_id > first_id").select("rk", "doc_id", "at", "chars", "first_id", "first_rk", "first_at")
-    return (
-        shared.distinct()
-        .repartition("rk")
-        .sortWithinPartitions("rk", "doc_id", "first_id", "at")
-        .mapInArrow(_deletions, "id long, key long, gone array<boolean>")
-    )
+    shared = lines.join(known, "h").groupBy("rk", "doc_id").agg(F.collect_set(F.struct("h", "at", "chars", "first_id", "once_id")).alias("lines"))
+    rows = written(shared.mapInArrow(_rows, _ROW_SCHEMA), "rows")
+    firsts = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "rk")).alias("first"))
+    rows = written(rows.join(firsts, "sig").withColumn("copy", F.col("doc_id") > F.col("first.doc_id")).withColumn("one", (F.col("doc_id") == F.col("first.doc_id")) & (F.col("rk") == F.col("first.rk"))).drop("sig", "first"), "marked")
+    holders = rows.where("one").select(F.col("doc_id").alias("e_id"), F.col("rk").alias("e_rk"), F.explode(F.arrays_zip("h", "at")).alias("x")).select("e_id", "e_rk", "x.h", F.size("x.at").alias("m"))
+    seekers = (
+        rows.where(~F.col("copy") & F.exists("seeks", lambda x: x)).select("doc_id", "rk", F.explode(F.arrays_zip("h", "held", "seeks")).alias("x"))
+        .where("x.held").select("doc_id", "rk", "x.h", "x.seeks")
+    )
+    pairs = written(
+        seekers.join(holders, "h").where("e_id < doc_id")
+        .groupBy("doc_id", "rk", "e_id", "e_rk").agg(F.count("*").alias("n"), F.max("seeks").alias("seeks"), F.max("h").alias("h"), F.max("m").alias("m"))
+        .where("seeks").drop("seeks"),
+        "pairs",
+    )
+    most = pairs.where("n = 1").groupBy("doc_id", "rk", "h").agg(F.max("m").alias("m")).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("h", "m")).alias("most"))
+    aligned = (
+        pairs.where("n > 1").select("doc_id", "rk", "e_id", "e_rk")
+        .join(rows.where(~F.col("copy")).select("doc_id", "rk", "h", "at", "chars"), ["doc_id", "rk"])
+        .join(rows.where("one").select(F.col("doc_id").alias("e_id"), F.col("rk").alias("e_rk"), F.col("h").alias("eh"), F.col("at").alias("eat")), ["e_id", "e_rk"])
+        .mapInArrow(_pairs, "doc_id long, rk long, lines array<int>")
+        .select("doc_id", "rk", F.explode("lines").alias("line"))
+        .groupBy("doc_id", "rk").agg(F.collect_set("line").alias("aligned"))
+    )
+    return rows.join(most, ["doc_id", "rk"], "left").join(aligned, ["doc_id", "rk"], "left").mapInArrow(_masks, "id long, key long, gone array<boolean>")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the cleaned text in place of text, and __lines_gone, the number of lines deleted.
 
     The lines of a document are its text split at line feeds, compared without outer white space;
-    blank lines are never compared. Each line that an earlier document (lower doc_id) holds is
-    looked up at the first document that holds it: these pairs are the candidates, however rare or
-    common the line, so a line in a million documents costs a million rows and not their pairs. The
-    lines a pair shares in this way are aligned by patience diff, blocks that moved are added, and
-    what is aligned with any partner goes from the later document in runs of consecutive lines with
-    at least BLOCK_CHARS characters. All decisions rest on the original texts.
+    blank lines are never compared. A document is aligned by patience diff with every earlier one
+    (lower doc_id) that shares a line with it, on all lines the two share; blocks that moved are
+    added, and what is aligned with any partner goes from the later document in runs of consecutive
+    lines with at least BLOCK_CHARS characters. All decisions rest on the original texts.
 
     A null text, an empty one, and rows without doc_id stay as they are (0 lines gone) and are no
     partners. Rows with the same doc_id are never each other's partner. Repeated rows are all

@@ -103,3 +103,35 @@ def test_edges(spark):
     assert by[2] == ("", 1) and by[1][1] == 0 and by[3] == (None, 0) and by[4] == ("", 0) and by[5] == (" \n\t\n", 0)
     assert by[6] == (helpers.LONG, 0)
     assert linededup.dedup_lines(helpers.docs(spark, [])).count() == 0
+
+
+def all_pairs(rows):
+    """Which lines go when every document is aligned with all earlier ones on all their common lines."""
+    docs = sorted((i, [x.strip() for x in t.split("\n")]) for i, t in rows if t)
+    out = {}
+    for i, mine in docs:
+        gone = set()
+        for j, other in docs:
+            if j < i and (shared := {x for x in mine if x} & set(other)):
+                gone |= linededup._aligned([([k for k, y in enumerate(mine) if y == x], [k for k, y in enumerate(other) if y == x], len("".join(x.split()))) for x in dict.fromkeys(mine) if x in shared])
+        out[i] = set(linededup._filtered(gone, {k: len("".join(x.split())) for k, x in enumerate(mine)}))
+    return out
+
+
+def test_as_all_pairs(spark):
+    rng = random.Random(6)
+    pool = [f"a shared line number {k} of the pool" for k in range(8)] + ["short", "tiny line", "}", "some", "words"] * 2
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else rng.choice(["", f"own line {i} {rng.random()}"]) for _ in range(rng.randrange(1, 12)))) for i in range(150)]
+    got, want = run(spark, rows), all_pairs(rows)
+    for i, t in rows:
+        gone = want.get(i, set())
+        assert got[i] == ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone)), i
+
+
+def test_any_earlier_document_is_a_partner(spark):
+    x = "this line is held by the first document only once"
+    block = "one two\nthree four\nfive six\nseven eight"
+    rows = [(1, x), (2, f"{x}\nown\n{x}"), (3, f"{x}\nother\n{x}"), (4, "seven eight\nfive six\nthree four\none two"), (5, f"five\n{block}"), (6, f"six\n{block}")]
+    got = run(spark, rows)
+    assert got[3] == ("other", 2)
+    assert got[6] == ("six", 4)
