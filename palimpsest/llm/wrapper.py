@@ -23,6 +23,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body div dl dd dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header html li main nav ol p pre section table tbody td tfoot th thead title tr ul br hr".split())
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "body": {"head"}}
 _SCOPE = frozenset("table ul ol dl div section article select".split())
+#: Tags, and words of a class, id or role, of a node that is a region beside the content; what lies within _INNER is none.
+_REGION_TAGS = frozenset("nav footer aside menu".split())
+_REGION_NAMES = frozenset("ad ads advert advertisement sponsored nav navbar navigation menu sidebar footer breadcrumb breadcrumbs banner contentinfo complementary cookie cookies".split())
+_INNER = frozenset(("article", "main"))
 
 
 def leaves_and_tree(html: str) -> tuple[list[tuple[str, bool]], list[tuple[int, str, int]]]:
@@ -72,14 +76,33 @@ def leaves_and_tree(html: str) -> tuple[list[tuple[str, bool]], list[tuple[int,
     return leaves, nodes
 
 
+#: The upper bit of depth marks the node of a region.
 _NODE = np.dtype([("text", "<u4"), ("label", "<u2"), ("depth", "u1")])
+_REGION = 128
+
+
+@lru_cache(65536)
+def is_region(label: str) -> bool:
+    """Whether a label names a region beside the content: nav, footer, aside, menu, or such a class, id or role."""
+    tag, _, named = label.partition(".")
+    return tag in _REGION_TAGS or bool(named) and tag not in ("html", "body") and not _REGION_NAMES.isdisjoint(re.split(r"[\s.=]+", named.lower()))
+
+
+def regions(nodes: list[tuple[int, str, int]]) -> list[bool]:
+    """For each node whether it is a region that lies in no article and no main part."""
+    out, inner = [], DEPTH + 2
+    for depth, label, _ in nodes:
+        if depth <= inner:
+            inner = depth if label.partition(".")[0] in _INNER else DEPTH + 2
+        out.append(inner > DEPTH + 1 and is_region(label))
+    return out
 
 
 def packed(html: str) -> bytes:
-    """The tree of a page in 7 bytes a node: hash of the text of a leaf, hash of the label, depth."""
+    """The tree of a page in 7 bytes a node: hash of the text of a leaf, hash of the label, depth and whether it is a region."""
     leaves, nodes = leaves_and_tree(html)
     out = np.zeros(len(nodes), _NODE)
-    out["depth"] = [d for d, _, _ in nodes]
+    out["depth"] = [d + _REGION * x for (d, _, _), x in zip(nodes, regions(nodes))]
     out["label"] = [xxhash.xxh32_intdigest(label) & 0xFFFF for _, label, _ in nodes]
     out["text"] = [xxhash.xxh32_intdigest(leaves[k][0]) | 1 if k >= 0 else 0 for _, _, k in nodes]
     return out.tobytes()
@@ -182,7 +205,8 @@ class Tree:
     def __init__(self, raw: bytes, shapes: Shapes):
         nodes = np.frombuffer(raw, _NODE)
         self.text = nodes["text"].tolist()
-        labels, depths = nodes["label"].tolist(), nodes["depth"].tolist()
+        labels, depths = nodes["label"].tolist(), (nodes["depth"] % _REGION).tolist()
+        self.region = (nodes["depth"] >= _REGION).tolist()
         self.kids: list[list[int]] = [[] for _ in labels]
         path: list[int] = []
         for i, d in enumerate(depths):
@@ -196,9 +220,20 @@ class Tree:
             self.shape[i] = shapes.of(labels[i], tuple(self.shape[k] for k in self.kids[i]))
         self.leaf = {i: k for k, i in enumerate(j for j, t in enumerate(self.text) if t)}
 
+    def leaves(self, node: int) -> list[int]:
+        """The leaves below a node."""
+        out, todo = [], [node]
+        while todo:
+            i = todo.pop()
+            if self.text[i]:
+                out.append(self.leaf[i])
+            todo += self.kids[i]
+        return sorted(out)
+
 
 def same_leaves(page: Tree, seed: Tree, shapes: Shapes) -> list[tuple[int, int]]:
-    """(leaf of page, leaf of seed) with equal texts that simple tree matching pairs."""
+    """(leaf of page, leaf of seed) with equal texts that simple tree matching pairs; and (leaf of page, -1 - node of seed)
+    for all leaves of a region of the page that it pairs with a region of the seed."""
     out, todo = [], [(0, 0)]
     while todo:
         a, b = todo.pop()
@@ -207,6 +242,8 @@ def same_leaves(page: Tree, seed: Tree, shapes: Shapes) -> list[tuple[int, int]]
                 out.append((page.leaf[a], seed.leaf[b]))
             continue
         x, y = page.kids[a], seed.kids[b]
+        if page.region[a] and seed.region[b]:
+            out += [(k, -1 - b) for k in page.leaves(a)]
         if x and y:
             pairs = shapes.aligned(tuple(page.shape[k] for k in x), tuple(seed.shape[k] for k in y))
             todo += [(x[i], y[j]) for i, j in pairs]
@@ -270,7 +307,11 @@ def extract(pages: DataFrame) -> DataFrame:
     The seed of a host is its page of least page_id (rows without page_id last, then by a hash of
     the page). Every other page is aligned with it by simple tree matching. A leaf of the seed is
     template if at least CONSTANT of the other pages have its text at the aligned place; a leaf of a
-    page is template if it has the text of such a leaf at that place. All other leaves are content.
+    page is template if it has the text of such a leaf at that place. Where texts vary, the labels of
+    aligned nodes tell: a region of the seed (nav, footer, aside, an ad and the like by tag, class, id
+    or role, outside of article and main) is template if at least CONSTANT of the other pages have a
+    region with text at the aligned place, and all leaves of such a region of a page are template.
+    All other leaves are content, whole: constant parts of a leaf whose text varies stay.
 
     Hosts are joined with their seeds in 7 bytes a node, so a host with most of the pages is no
     heavier than its share, and Spark can split it.
@@ -284,7 +325,7 @@ def extract(pages: DataFrame) -> DataFrame:
     seeds = trees.groupBy("host").agg(F.min_by(F.struct("tree", "rk"), F.struct(F.col("page_id").isNull(), "page_id", "rk")).alias("s"), F.count("*").alias("n")).where("n > 1")
     seeds = seeds.select("host", F.col("s.tree").alias("seed"), F.col("s.rk").alias("seed_rk"), "n")
     matched = written(trees.join(seeds.select("host", "seed"), "host").mapInArrow(_match, "page_id long, rk long, host string, leaf array<int>, same array<int>"), "matched")
-    votes = matched.select("host", "rk", F.explode("same").alias("place")).groupBy("host", "place").agg(F.count("*").alias("with"))
+    votes = matched.select("host", "rk", F.explode(F.array_distinct("same")).alias("place")).groupBy("host", "place").agg(F.count("*").alias("with"))
     sizes = matched.groupBy("host").agg(F.count("*").alias("n"))
     fixed = votes.join(sizes, "host").where((F.col("with") - 1) >= CONSTANT * (F.col("n") - 1)).groupBy("host").agg(F.collect_list("place").alias("fixed"))
     masks = matched.join(fixed, "host").select("page_id", "rk", "leaf", "same", "fixed").mapInArrow(_mask, "id long, key long, gone array<int>").where(F.size("gone") > 0).dropDuplicates(["id", "key"])

@@ -89,3 +89,20 @@ def test_edges(spark):
     assert by[2]["content"].split("\n") == ["T2", "Title 2", "q"]
     assert sum(r["page_id"] == 1 for r in got) == 2
     assert wrapper.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_aligned_regions_go_though_their_texts_vary(spark):
+    html = "<html><body><nav><ul><li><a>link {0}</a><li><a>more {0}</a></ul></nav><div class='ad big'>buy {0}</div><article><h1>Title {0}</h1><p>text {0}</p><footer>by author {0}</footer></article><footer>&copy; site &middot; {0}</footer></body></html>"
+    rows = [(k, f"http://r.example/{k}", html.format(f"w{k}"), None, None) for k in range(6)] + [(9, "http://alone.example/", html.format("w9"), None, None)]
+    for r in wrapper.extract(spark.createDataFrame(rows, PAGES)).collect():
+        k = r["page_id"]
+        if k < 9:
+            assert r["content"].split("\n") == [f"Title w{k}", f"text w{k}", f"by author w{k}"] and r["template_leaves"] == 4
+        else:
+            assert r["template_leaves"] == 0
+
+
+def test_a_region_counts_once_a_page(spark):
+    nav = "<nav>" + "".join(f"<a>link {k}</a>" for k in range(9)) + "</nav>"
+    rows = [(k, f"http://r.example/{k}", f"<body>{nav if k < 2 else ''}<p>text {k}</p></body>", None, None) for k in range(8)]
+    assert all(r["template_leaves"] == 0 for r in wrapper.extract(spark.createDataFrame(rows, PAGES)).collect())
