@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from math import gcd, lcm
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents of a block; the power of the block counts to which default weights are proportional; slots of a period, a multiple of which every weight is.
-BLOCK, TEMPER, PERIOD = 16, 0.7, 1024
+#: Documents of a block; the power of the block counts to which default weights are proportional.
+BLOCK, TEMPER = 16, 0.7
 #: Parts of every source that are numbered apart, so that no task orders a whole source.
 PARTS = 4096
 
@@ -33,23 +36,38 @@ def quantised(weights: dict, period: int) -> dict:
     return out
 
 
-def schedule(slots: dict, period: int) -> list:
-    """The source of every slot of a period: block j of a source with q slots is released at floor(j*period/q),
-    is due at ceil((j+1)*period/q), and of the released blocks the one due first is next (ties by name)."""
-    order = sorted(slots, key=str)
-    releases = [(0, i, 0) for i in range(len(order))]
-    heapq.heapify(releases)
+def exact(weights: dict) -> tuple[dict, int]:
+    """Whole numbers in exactly the proportion of the weights, and their sum."""
+    shares = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(x.denominator for x in shares.values()))
+    whole = {s: int(x * scale) for s, x in shares.items()}
+    by = gcd(*whole.values())
+    return {s: w // by for s, w in whole.items()}, sum(whole.values()) // by
+
+
+def _order(slots: list[int], period: int, left: list[int] | None = None) -> Iterator[int]:
+    """Numbers of the sources of the slots of schedule(), for a period, or until a source has none of its left blocks."""
+    releases = [(0, i, 0) for i in range(len(slots))]
     due: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(period):
+    t = 0
+    while left is not None or t < period:
         while releases and releases[0][0] <= t:
             _, i, j = heapq.heappop(releases)
-            heapq.heappush(due, (-(-(j + 1) * period // slots[order[i]]), i, j))
+            heapq.heappush(due, (-(-(j + 1) * period // slots[i]), i, j))
         _, i, j = heapq.heappop(due)
-        out.append(order[i])
-        if (j + 1) < slots[order[i]]:
-            heapq.heappush(releases, ((j + 1) * period // slots[order[i]], i, j + 1))
-    return out
+        yield i
+        if left is not None and j + 1 == left[i]:
+            return
+        if left is not None or j + 1 < slots[i]:
+            heapq.heappush(releases, ((j + 1) * period // slots[i], i, j + 1))
+        t += 1
+
+
+def schedule(slots: dict, period: int) -> list:
+    """The source of every slot of a period: block j of a source with q slots is released at floor(j*period/q),
+    is due at ceil((j+1)*period/q), and of the released blocks the one due first is next (ties by name)."""
+    order = sorted(slots, key=str)
+    return [order[i] for i in _order([slots[s] for s in order], period)]
 
 
 @dataclass
@@ -63,27 +81,29 @@ class Stretch:
     period: int
 
 
-def plan(blocks: dict, weights: dict, period: int = PERIOD) -> tuple[dict[object, list[Stretch]], list[tuple[int, int]]]:
+def plan(blocks: dict, weights: dict) -> tuple[dict[object, list[Stretch]], list[tuple[int, int]]]:
     """For each source its stretches, and (start, end) of each phase.
 
-    Phase 0 has the target weights and lasts until a source has no block left. Then its weight is
-    shared among the others in proportion, and so on; every block gets exactly one slot.
+    Phase 0 has the target weights, taken as exact fractions, and lasts until a source has no block
+    left. Then its weight is shared among the others in proportion, and so on; every block gets
+    exactly one slot. A phase is scheduled as a whole.
     """
-    period = max(period, 1 << (4 * len(blocks) - 1).bit_length())
     left = {s: n for s, n in blocks.items() if n > 0}
     done = {s: 0 for s in left}
     out: dict[object, list[Stretch]] = {s: [] for s in left}
     phases = []
     start = 0
     while left:
-        seq = np.array([sorted(left, key=str).index(s) for s in schedule(quantised({s: weights[s] for s in left}, period), period)])
-        places = {s: np.flatnonzero(seq == i) for i, s in enumerate(sorted(left, key=str))}
-        end = min((n - 1) // len(places[s]) * period + int(places[s][(n - 1) % len(places[s])]) + 1 for s, n in left.items())
-        for s in list(left):
-            out[s].append(Stretch(done[s], start, len(phases), places[s], period))
-            used = end // period * len(places[s]) + int(np.searchsorted(places[s], end % period))
-            done[s] += used
-            left[s] -= used
+        names = sorted(left, key=str)
+        slots, period = exact({s: weights[s] for s in names})
+        seq = np.fromiter(_order([slots[s] for s in names], period, [left[s] for s in names]), np.int32)
+        end = len(seq)
+        used = np.bincount(seq, minlength=len(names))
+        places = np.argsort(seq, kind="stable").astype(np.int32 if end < 1 << 31 else np.int64)
+        for s, mine in zip(names, np.split(places, np.cumsum(used)[:-1])):
+            out[s].append(Stretch(done[s], start, len(phases), mine, end))
+            done[s] += len(mine)
+            left[s] -= len(mine)
             if not left[s]:
                 del left[s]
         phases.append((start, start + end))
@@ -114,15 +134,15 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> D
     source of weight w has had w*t blocks within less than one. When a source has none left, the
     phase ends, and the others go on with weights in the same proportion; so every document comes
     exactly once, and what is beyond the target mixture has phase > 0. ``weights`` maps sources
-    (null as None) to weights above 0, which are quantised to slots of a period; by default they
-    are proportional to the number of blocks to the power TEMPER.
+    (null as None) to weights above 0, which are taken exactly; by default they are proportional to
+    the number of blocks to the power TEMPER.
 
     A null source is a source of its own. Rows with a null doc_id come in the order of a hash of
     the text; repeated rows each have a place, ties go by that hash. Null or empty texts are
     documents like others. An empty table gives no rows. A source without a weight is an error.
     Columns of docs that are named as the four new ones are replaced.
 
-    The driver gets one row per source. No task numbers a whole source: each is cut by the hash
+    The driver gets one row per source, and plans and broadcasts 4 bytes a block. No task numbers a whole source: each is cut by the hash
     into PARTS parts, whose counts give the offsets.
     """
     spark = docs.sparkSession

@@ -58,3 +58,24 @@ def test_edges(spark):
     assert mixing.mixed(helpers.docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
         mixing.mixed(src, {"a": 1})
+
+
+@pytest.mark.parametrize(
+    "blocks, weights",
+    [
+        ({"a": 3000, "b": 5000}, {"a": 1 / 3, "b": 2 / 3}),
+        ({"hot": 60000, **{f"s{k}": 1000 for k in range(19)}}, None),
+        ({"rare": 3, "b": 30000}, {"rare": 0.00005, "b": 1.0}),
+        ({"a": 5, "b": 40, "c": 2000, "d": 1}, {"a": 0.7, "b": 0.1, "c": 3.3, "d": 1e-9}),
+    ],
+)
+def test_phase_zero_keeps_the_exact_weights_within_a_block(blocks, weights):
+    weights = weights or {s: n**mixing.TEMPER for s, n in blocks.items()}
+    stretches, phases = mixing.plan(blocks, weights)
+    np = __import__("numpy")
+    slots = {s: mixing.place(stretches[s], np.arange(n))[0] for s, n in blocks.items()}
+    assert sorted(x for v in slots.values() for x in v.tolist()) == list(range(sum(blocks.values())))
+    end = phases[0][1]
+    for s, w in weights.items():
+        had = np.cumsum(np.isin(np.arange(end), slots[s]))
+        assert np.abs(had - w / sum(weights.values()) * np.arange(1, end + 1)).max() < 1 + 1e-9
