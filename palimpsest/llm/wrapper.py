@@ -12,10 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import grouped, written
 
 #: Share of the other pages of a host that must have a leaf's text at the aligned place to make it template; greatest depth of a tree.
 CONSTANT, DEPTH = 0.5, 120
+#: Depth to which pages are compared for their layout; layouts with this share of common paths are one cluster.
+LAYOUT_DEPTH, LIKE = 4, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -250,9 +252,41 @@ def same_leaves(page: Tree, seed: Tree, shapes: Shapes) -> list[tuple[int, int]]
     return out
 
 
+def layout(raw: bytes) -> list[int]:
+    """Hashes of the paths of labels that a packed tree has down to LAYOUT_DEPTH, without leaves."""
+    nodes = np.frombuffer(raw, _NODE)
+    depths = nodes["depth"] % _REGION
+    upper = (depths <= LAYOUT_DEPTH) & (nodes["text"] == 0)
+    path, out = [0] * (LAYOUT_DEPTH + 2), set()
+    for d, label in zip(depths[upper].tolist(), nodes["label"][upper].tolist()):
+        path[d + 1] = (path[d] * 1_000_003 + label + 1) % 2_147_483_647
+        out.add(path[d + 1])
+    return sorted(out)
+
+
 def _pack(batches):
     for batch in batches:
-        yield pa.record_batch([batch.column("page_id"), batch.column("rk"), batch.column("host"), pa.array([packed(h) for h in batch.column("html").to_pylist()], pa.binary())], names=["page_id", "rk", "host", "tree"])
+        trees = [packed(h) for h in batch.column("html").to_pylist()]
+        paths = [layout(t) for t in trees]
+        keys = [xxhash.xxh3_64_intdigest(np.array(p, np.int32).tobytes()) - (1 << 63) for p in paths]
+        yield pa.record_batch([batch.column("page_id"), batch.column("rk"), batch.column("host"), pa.array(keys, pa.int64()), pa.array(paths, pa.list_(pa.int32())), pa.array(trees, pa.binary())], names=["page_id", "rk", "host", "layout", "paths", "tree"])
+
+
+def _clusters(batches):
+    """The layouts of a host in order of their first pages: each joins the first one that leads a cluster and is most like it, or leads a new one."""
+    for group in grouped(batches, "host"):
+        leaders: list[tuple[int, set[int]]] = []
+        lead = []
+        for key, paths in zip(group.column("layout").to_pylist(), group.column("paths").to_pylist()):
+            mine, best, most = set(paths), key, 0.0
+            for other, theirs in leaders:
+                both = len(mine & theirs)
+                if (like := both / (len(mine) + len(theirs) - both)) >= LIKE and like > most:
+                    best, most = other, like
+            if not most:
+                leaders.append((key, mine))
+            lead.append(best)
+        yield pa.record_batch([group.column("host").combine_chunks().cast(pa.string()), group.column("layout").combine_chunks(), pa.array(lead, pa.int64())], names=["host", "layout", "lead"])
 
 
 def _match(batches):
@@ -304,8 +338,11 @@ def host_of(url) -> F.Column:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, host, content, leaves, template_leaves) for every row of pages.
 
-    The seed of a host is its page of least page_id (rows without page_id last, then by a hash of
-    the page). Every other page is aligned with it by simple tree matching. A leaf of the seed is
+    The pages of a host are clustered by layout, the paths of labels down to LAYOUT_DEPTH: the page of
+    least page_id (rows without page_id last, then by a hash of the page) leads the first cluster, and
+    a page that shares less than LIKE of the paths with every leader leads a new one. The leader is
+    the seed of its cluster, and every other page of the cluster, below just "the other pages", is
+    aligned with it by simple tree matching. A leaf of the seed is
     template if at least CONSTANT of the other pages have its text at the aligned place; a leaf of a
     page is template if it has the text of such a leaf at that place. Where texts vary, the labels of
     aligned nodes tell: a region of the seed (nav, footer, aside, an ad and the like by tag, class, id
@@ -313,18 +350,27 @@ def extract(pages: DataFrame) -> DataFrame:
     region with text at the aligned place, and all leaves of such a region of a page are template.
     All other leaves are content, whole: constant parts of a leaf whose text varies stay.
 
-    Hosts are joined with their seeds in 7 bytes a node, so a host with most of the pages is no
-    heavier than its share, and Spark can split it.
+    Pages are joined with their seeds in 7 bytes a node, so a host with most of the pages is no
+    heavier than its share, and Spark can split it. The distinct layouts of a host are clustered in one
+    task, in time that grows with the number of layouts times that of clusters.
 
-    A null or empty html gives an empty content, a null url has host ''. A host with one page has no
+    A null or empty html gives an empty content, a null url has host ''. A cluster of one page has no
     template. Identical rows count and are extracted each. An empty table gives no rows. Malformed
     markup is read as leaves_and_tree() says. Other columns are not read.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.xxhash64(F.col("page_id").cast("long"), F.col("url"), F.col("html")).alias("rk"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
-    trees = slim.where("html is not null and html <> ''").mapInArrow(_pack, "page_id long, rk long, host string, tree binary")
-    seeds = trees.groupBy("host").agg(F.min_by(F.struct("tree", "rk"), F.struct(F.col("page_id").isNull(), "page_id", "rk")).alias("s"), F.count("*").alias("n")).where("n > 1")
-    seeds = seeds.select("host", F.col("s.tree").alias("seed"), F.col("s.rk").alias("seed_rk"), "n")
-    matched = written(trees.join(seeds.select("host", "seed"), "host").mapInArrow(_match, "page_id long, rk long, host string, leaf array<int>, same array<int>"), "matched")
+    trees = slim.where("html is not null and html <> ''").mapInArrow(_pack, "page_id long, rk long, host string, layout long, paths array<int>, tree binary")
+    first = F.struct(F.col("page_id").isNull().alias("null"), "page_id", "rk")
+    layouts = written(trees.groupBy("host", "layout").agg(F.min(first).alias("first"), F.min_by(F.struct("tree", "paths"), first).alias("s"), F.count("*").alias("n")), "layouts")
+    clusters = written(
+        layouts.select("host", "layout", "first", F.col("s.paths").alias("paths")).repartition("host").sortWithinPartitions("host", "first").select("host", "layout", "paths")
+        .mapInArrow(_clusters, "host string, layout long, lead long"),
+        "clusters",
+    )
+    sizes = clusters.join(layouts.select("host", "layout", "n"), ["host", "layout"]).groupBy("host", "lead").agg(F.sum("n").alias("n")).where("n > 1")
+    seeds = clusters.join(sizes.select("host", "lead"), ["host", "lead"]).join(layouts.select("host", F.col("layout").alias("lead"), F.col("s.tree").alias("seed")), ["host", "lead"])
+    placed = trees.select("page_id", "rk", "host", "layout", "tree").join(seeds, ["host", "layout"]).select("page_id", "rk", F.concat_ws(" ", "host", F.col("lead")).alias("host"), "tree", "seed")
+    matched = written(placed.mapInArrow(_match, "page_id long, rk long, host string, leaf array<int>, same array<int>"), "matched")
     votes = matched.select("host", "rk", F.explode(F.array_distinct("same")).alias("place")).groupBy("host", "place").agg(F.count("*").alias("with"))
     sizes = matched.groupBy("host").agg(F.count("*").alias("n"))
     fixed = votes.join(sizes, "host").where((F.col("with") - 1) >= CONSTANT * (F.col("n") - 1)).groupBy("host").agg(F.collect_list("place").alias("fixed"))

@@ -106,3 +106,17 @@ def test_a_region_counts_once_a_page(spark):
     nav = "<nav>" + "".join(f"<a>link {k}</a>" for k in range(9)) + "</nav>"
     rows = [(k, f"http://r.example/{k}", f"<body>{nav if k < 2 else ''}<p>text {k}</p></body>", None, None) for k in range(8)]
     assert all(r["template_leaves"] == 0 for r in wrapper.extract(spark.createDataFrame(rows, PAGES)).collect())
+
+
+def test_each_layout_of_a_host_has_its_own_template(spark):
+    kinds = [
+        "<html><body><section class=top><h2>Shop of things</h2></section><div class=a><p>item {0}</p></div></body></html>",
+        "<html><body><table class=list><tr><td>Forum of things</td></tr><tr><td>post {0}</td></tr></table><form><label>Reply</label></form></body></html>",
+        "<html><body><dl class=wiki><dt>All about things</dt><dd>entry {0}</dd></dl><pre>licence of the wiki</pre><ol><li>one rule</li></ol></body></html>",
+    ]
+    odd = "<html><body><h1>odd</h1><blockquote>page</blockquote></body></html>"
+    rows = [(0, "http://m.example/0", odd, None, None)] + [(k, f"http://m.example/{k}", kinds[k % 3].format(f"w{k}"), None, None) for k in range(1, 13)]
+    got = {r["page_id"]: (r["content"], r["template_leaves"]) for r in wrapper.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[0] == ("odd\npage", 0)
+    for k in range(1, 13):
+        assert got[k] == (f"{('item', 'post', 'entry')[k % 3]} w{k}", (1, 2, 3)[k % 3])
