@@ -8,15 +8,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pyspark.sql import DataFrame
+
 from palimpsest.sources.shared import shared_folder, written
 
-__all__ = ["CHUNK", "U64", "buffers", "grouped", "mix", "prefix_hash", "shared_folder", "word_hashes", "written"]
+__all__ = ["CHUNK", "U64", "buffers", "free_names", "grouped", "mix", "prefix_hash", "shared_folder", "word_hashes", "written"]
 
 U64 = np.uint64
 #: Bytes of text that the vectorised code handles at once; its temporaries are some 60 times this.
 CHUNK = 1 << 20
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores as it takes to be no column of df, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string array; a null counts as an empty text."""
     if isinstance(texts, pa.ChunkedArray):

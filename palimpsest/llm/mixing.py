@@ -13,27 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import free_names
+
 #: Documents of a block; the power of the block counts to which default weights are proportional.
 BLOCK, TEMPER = 16, 0.7
-#: Parts of every source that are numbered apart, so that no task orders a whole source.
-PARTS = 4096
-
-
-def quantised(weights: dict, period: int) -> dict:
-    """Slots of a period for each source, at least 1, by largest remainder; the sum is period."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), str(s)))
-    k = 0
-    while (short := period - sum(out.values())) > 0:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while short < 0:
-        big = max(out, key=lambda s: (out[s] - exact[s], out[s], str(s)))
-        out[big] -= 1
-        short += 1
-    return out
+#: Documents of a part of a source, about; parts are numbered apart, so that no task orders a whole source.
+PART_DOCS = 4096
+#: The bound on the blocks of a plan, and so on what is broadcast (4 bytes a block): blocks are doubled until there are no more.
+MOST_BLOCKS = 1 << 22
 
 
 def exact(weights: dict) -> tuple[dict, int]:
@@ -93,9 +80,9 @@ def plan(blocks: dict, weights: dict) -> tuple[dict[object, list[Stretch]], list
     out: dict[object, list[Stretch]] = {s: [] for s in left}
     phases = []
     start = 0
+    slots, period = exact({s: weights[s] for s in left}) if left else ({}, 0)
     while left:
         names = sorted(left, key=str)
-        slots, period = exact({s: weights[s] for s in names})
         seq = np.fromiter(_order([slots[s] for s in names], period, [left[s] for s in names]), np.int32)
         end = len(seq)
         used = np.bincount(seq, minlength=len(names))
@@ -106,6 +93,7 @@ def plan(blocks: dict, weights: dict) -> tuple[dict[object, list[Stretch]], list
             left[s] -= len(mine)
             if not left[s]:
                 del left[s]
+                period -= slots[s]
         phases.append((start, start + end))
         start += end
     return out, phases
@@ -125,7 +113,7 @@ def place(stretches: list[Stretch], block: np.ndarray) -> tuple[np.ndarray, np.n
     return slot, phase
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, most: int = MOST_BLOCKS) -> DataFrame:
     """docs with block_no, slot, nth and phase: where the mixture has each document.
 
     The documents of a source, in an order drawn by a hash of doc_id, are cut into blocks of
@@ -135,25 +123,32 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> D
     phase ends, and the others go on with weights in the same proportion; so every document comes
     exactly once, and what is beyond the target mixture has phase > 0. ``weights`` maps sources
     (null as None) to weights above 0, which are taken exactly; by default they are proportional to
-    the number of blocks to the power TEMPER.
+    the number of blocks to the power TEMPER. If that makes more than ``most`` blocks, block is
+    doubled until it doesn't, which bounds the plan whatever the corpus.
 
     A null source is a source of its own. Rows with a null doc_id come in the order of a hash of
     the text; repeated rows each have a place, ties go by that hash. Null or empty texts are
     documents like others. An empty table gives no rows. A source without a weight is an error.
-    Columns of docs that are named as the four new ones are replaced.
+    Columns of docs that are named as the four new ones, in any case, are replaced; all others may
+    have any name.
 
-    The driver gets one row per source, and plans and broadcasts 4 bytes a block. No task numbers a whole source: each is cut by the hash
-    into PARTS parts, whose counts give the offsets.
+    The driver gets one row per source, and plans and broadcasts 4 bytes a block. No task numbers a
+    whole source: each is cut by the hash into parts of about PART_DOCS documents, whose counts give
+    the offsets. Columns that the caller doesn't take are not shuffled; the text itself orders
+    nothing, its hash is made where it is read.
     """
     spark = docs.sparkSession
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("block_no", "slot", "nth", "phase")])
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
-    draw = F.xxhash64(F.col("doc_id").cast("long"), F.lit(20240607))
-    keyed = plain.withColumns({"__source": key, "__draw": draw, "__part": F.pmod(draw, F.lit(PARTS)).cast("int")})
-    counts = keyed.groupBy("__source", "__part").agg(F.count("*").alias("__count"))
-    sizes = {r[0]: -(-r[1] // block) for r in counts.groupBy("__source").agg(F.sum("__count")).collect()}
+    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("block_no", "slot", "nth", "phase")])
+    src, draw, part, tie, offset, n, at = free_names(plain, "source_", "draw", "part", "tie", "offset", "n", "at")
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    found = plain.select(source.alias("s"), F.col("doc_id").isNull().alias("bare")).groupBy("s").agg(F.count("*"), F.max("bare")).collect()
+    docs_of = {r[0]: r[1] for r in found}
+    blocks = lambda: {s: -(-m // block) for s, m in docs_of.items()}
+    while sum(blocks().values()) > max(most, len(docs_of)):
+        block *= 2
+    sizes = blocks()
     if weights is None:
-        target = {s: n**TEMPER for s, n in sizes.items()}
+        target = {s: m**TEMPER for s, m in sizes.items()}
     else:
         named = {"null" if s is None else f"={s}": float(w) for s, w in weights.items()}
         if missing := [s for s in sizes if named.get(s, 0) <= 0]:
@@ -167,17 +162,22 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> D
         numbers = number.to_numpy()
         slot, phase = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int32)
         for i, name in enumerate(names):
-            at = codes == i
-            slot[at], phase[at] = place(shared.value[name], numbers[at])
+            mine = codes == i
+            slot[mine], phase[mine] = place(shared.value[name], numbers[mine])
         return pa.StructArray.from_arrays([pa.array(slot), pa.array(phase)], names=["slot", "phase"])
 
-    before = Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__count").over(before), F.lit(0))).drop("__count")
-    within = Window.partitionBy("__source", "__part").orderBy("__draw", F.xxhash64("text"))
+    parts = -(-max(docs_of.values(), default=1) // PART_DOCS)
+    drawn = F.xxhash64(F.col("doc_id").cast("long"), F.lit(20240607))
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(drawn) if any(r[2] for r in found) else drawn  # texts are read for this only if ids are missing
+    keyed = plain.withColumns({src: source, draw: drawn, tie: F.xxhash64("text"), part: F.pmod(spread, F.lit(parts))})
+    counts = keyed.groupBy(src, part).agg(F.count("*").alias(n))
+    before = Window.partitionBy(src).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn(offset, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    within = Window.partitionBy(src, part).orderBy(draw, tie)
     return (
-        keyed.join(offsets, ["__source", "__part"])
-        .withColumn("__n", F.col("__offset") + F.row_number().over(within) - 1)
-        .withColumns({"block_no": F.floor(F.col("__n") / block).cast("long"), "nth": (F.col("__n") % block).cast("int")})
-        .withColumn("__at", where("__source", "block_no"))
-        .select(*[F.col(f"`{c}`") for c in plain.columns], "block_no", F.col("__at.slot").alias("slot"), "nth", F.col("__at.phase").alias("phase"))
+        keyed.join(offsets, [src, part])
+        .withColumn(n, F.col(offset) + F.row_number().over(within) - 1)
+        .withColumns({"block_no": F.floor(F.col(n) / block).cast("long"), "nth": (F.col(n) % block).cast("int")})
+        .withColumn(at, where(src, "block_no"))
+        .select(*[F.col(f"`{c}`") for c in plain.columns], "block_no", F.col(at)["slot"].alias("slot"), "nth", F.col(at)["phase"].alias("phase"))
     )
