@@ -6,17 +6,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import buffers
+from palimpsest.llm.common import buffers, free_names
 
-#: Hidden units of each direction; bytes of a window, the span over which the network carries its state.
-HIDDEN, WINDOW = 8, 128
-#: The bound on the training sample: documents of each language (at most twice as many), windows of each document and their bytes; optimiser steps and windows of a step.
-TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_BYTES, STEPS, BATCH = 400, 3, 64, 300, 128
-#: Labels that fewer documents carry are no class; a document with less pooled probability is rejected.
-LEAST_DOCS, CONFIDENT = 5, 0.4
+#: Hidden units of each direction; bytes of a window that are labelled, and of the text on either side of it that the state is carried over before.
+HIDDEN, WINDOW, MARGIN = 8, 128, 16
+#: The bounds on the training sample: labelled documents of each language (at most twice as many), which are cut into windows whole, and labelled windows of each language, drawn from all of them alike; optimiser steps, windows of a step, and bytes of them, from a place drawn each time, through which errors are propagated back.
+TRAIN_DOCS, TRAIN_WINDOWS, STEPS, BATCH, SPAN = 400, 4096, 200, 128, 64
+#: A document with less pooled probability is rejected.
+CONFIDENT = 0.4
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -86,18 +86,19 @@ class Network:
         p = s.reshape(*x.shape, -1)
         return (p, a, b) if keep else p
 
-    def pooled(self, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For windows in columns of x with so many bytes each: sums of the probabilities at all positions, counts of labels.
+    def pooled(self, x: np.ndarray, size: np.ndarray, margin: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """For windows in columns of x, so many bytes of each labelled after the margin: sums of the probabilities at these, counts of labels.
 
         The same as probabilities() with its sums, step by step and without its large arrays.
         """
         steps, n = x.shape
         hid, k = self.u[0].shape[0], len(self.classes)
+        inner = range(margin, steps - margin)
         scores = np.empty((steps, k, n), np.float32)
         total, wins = np.zeros((k, n), np.float32), np.zeros((k, n), np.int32)
         z, r, c, gz, gr, gc, y = (np.empty((n, hid), np.float32) for _ in range(7))
         top, e, tot = np.empty(n, np.float32), np.empty((k, n), np.float32), np.empty(n, np.float32)
-        full = bool((size == steps).all())
+        full = bool((size == len(inner)).all())
         for direction in (0, 1):
             wz, wr, wc = (np.ascontiguousarray(self.w[direction][:, i * hid : (i + 1) * hid]) for i in range(3))
             uz, ur, uc = (np.ascontiguousarray(self.u[direction][:, i * hid : (i + 1) * hid]) for i in range(3))
@@ -124,6 +125,8 @@ class Network:
                 h -= c
                 h *= z
                 h += c
+                if t not in inner:
+                    continue
                 if direction == 0:
                     np.matmul(out, h.T, out=scores[t])
                     continue
@@ -137,7 +140,7 @@ class Network:
                 np.add.reduce(e, axis=0, out=tot)
                 np.divide(1, tot, out=tot)
                 if not full:
-                    inside = t < size
+                    inside = t < size + margin
                     tot *= inside
                     best &= inside
                 e *= tot
@@ -198,7 +201,7 @@ def fresh(classes: list[str], hidden: int = HIDDEN, seed: int = 0) -> Network:
 
 
 def train(windows: np.ndarray, mask: np.ndarray, labels: np.ndarray, classes: list[str], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 0, hidden: int = HIDDEN) -> Network:
-    """A network fitted by Adam on windows (rows of byte values) with a class each; batches draw classes evenly."""
+    """A network fitted by Adam on windows (rows of byte values) with a class each; batches draw classes evenly, and each step a span of the windows."""
     net = fresh(classes, hidden, seed)
     rng = np.random.default_rng(seed)
     by = [np.flatnonzero(labels == k) for k in range(len(classes))]
@@ -206,7 +209,8 @@ def train(windows: np.ndarray, mask: np.ndarray, labels: np.ndarray, classes: li
     s = [np.zeros_like(p) for p in net.params()]
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(b, batch // len(by) + 1) for b in by])
-        grads, _ = net.gradients(windows[pick].T.astype(np.intp), labels[pick], mask[pick].T.astype(np.float32))
+        at = int(rng.integers(0, max(1, windows.shape[1] - SPAN + 1)))
+        grads, _ = net.gradients(windows[pick, at : at + SPAN].T.astype(np.intp), labels[pick], mask[pick, at : at + SPAN].T.astype(np.float32))
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, g, a, b in zip(net.params(), grads, m, s):
             a += 0.1 * (g - a)
@@ -215,20 +219,22 @@ def train(windows: np.ndarray, mask: np.ndarray, labels: np.ndarray, classes: li
     return net
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of all rows: (windows, window) byte values (0 beyond a row's end), lengths, row numbers."""
+def cut(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of all rows, each between margins: byte values (0 beyond a row's ends), bytes within the window, row numbers."""
     lengths = np.diff(offsets)
     count = -(-lengths // window)
     row = np.repeat(np.arange(len(lengths)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     start = offsets[row] + nth * window
     size = np.minimum(window, offsets[row + 1] - start)
-    at = start[:, None] + np.arange(window)
-    out = np.where(np.arange(window) < size[:, None], data[np.minimum(at, max(0, len(data) - 1))], 0) if len(row) else np.zeros((0, window), np.uint8)
-    return out.astype(np.uint8), size, row
+    if not len(row):
+        return np.zeros((0, window + 2 * margin), np.uint8), size, row
+    at = start[:, None] + np.arange(-margin, window + margin)
+    inside = (at >= offsets[row][:, None]) & (at < offsets[row + 1][:, None])
+    return np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8), size, row
 
 
-def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, block: int = 2048, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray]:
     """Mean class probabilities over all positions of each row, and how many positions each class is likeliest at."""
     n, k = len(offsets) - 1, len(net.classes)
     total, wins = np.zeros((n, k)), np.zeros((n, k), np.int64)
@@ -238,27 +244,47 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray, window: int = WI
     while at < n:
         end = max(at + 1, int(np.searchsorted(count, (count[at - 1] if at else 0) + 4 * block, side="right")))
         lo, hi = offsets[at], offsets[end]
-        win, size, row = cut(data[lo:hi], offsets[at : end + 1] - lo, window)
+        win, size, row = cut(data[lo:hi], offsets[at : end + 1] - lo, window, margin)
         for b in range(0, len(win), block):
-            p, best = net.pooled(np.ascontiguousarray(win[b : b + block].T).astype(np.intp), size[b : b + block])
+            p, best = net.pooled(np.ascontiguousarray(win[b : b + block].T).astype(np.intp), size[b : b + block], margin)
             np.add.at(total, at + row[b : b + block], p)
             np.add.at(wins, at + row[b : b + block], best)
         at = end
     return total / np.maximum(1, lengths)[:, None], wins
 
 
-def training_sample(docs: DataFrame, per_class: int = TRAIN_DOCS) -> list[tuple[str, bytes]]:
-    """Windows of at most about per_class to 2 * per_class documents of every label, chosen by a hash of doc_id; TRAIN_WINDOWS of each, spread over its text."""
-    known = docs.where("lang is not null and text is not null and text <> ''").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id")).alias("h"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().where(F.col("count") >= LEAST_DOCS).collect()}
+def _windows(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = batch.slice(k, 1)
+            win, size, row = cut(*buffers(one.column("text")))
+            for at in range(0, len(win), 8192):
+                part = win[at : at + 8192]
+                n = len(part)
+                yield pa.record_batch(
+                    [pa.array(one.column("lang").to_pylist() * n, pa.string()), pa.array(one.column("h").to_pylist() * n, pa.int64()), pa.array(np.arange(at, at + n)), pa.array([w.tobytes() for w in part], pa.binary()), pa.array(size[at : at + n].astype(np.int32))],
+                    names=["lang", "h", "nth", "bytes", "size"],
+                )
+
+
+def training_sample(docs: DataFrame, per_class: int = TRAIN_DOCS, windows: int = TRAIN_WINDOWS) -> list[tuple[str, bytes, int]]:
+    """(label, bytes with margins, bytes within) of at most ``windows`` windows of every label.
+
+    They are drawn by a hash from all windows of the whole texts of at most 2 * per_class documents
+    of the label, themselves drawn by a hash of doc_id and text; equal rows count once. Both bounds
+    hold whatever is null or repeated. Every label that any text has is in the sample.
+    """
+    known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h")).where("lang is not null and text is not null and text <> ''")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return []
     every = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // per_class))])
-    chosen = known.where(F.pmod("h", F.try_element_at(every, F.col("lang"))) == 0)
-    part = F.length("text") / TRAIN_WINDOWS
-    spans = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.encode(F.substring(F.col("text"), (i * part).cast("int") + 1, F.lit(TRAIN_BYTES)), "UTF-8"))
-    rows = chosen.select("lang", "h", F.array_distinct(spans).alias("spans")).collect()
-    return [(r["lang"], bytes(x)[:TRAIN_BYTES]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["spans"])) for x in r["spans"] if x]
+    chosen = known.where(F.pmod("h", F.try_element_at(every, F.col("lang"))) == 0).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    cuts = chosen.withColumn("k", nth).where(F.col("k") <= 2 * per_class).select("lang", "h", "text").mapInArrow(_windows, "lang string, h long, nth long, bytes binary, size int")
+    drawn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h", "nth"), "h", "nth"))
+    rows = cuts.withColumn("k", drawn).where(F.col("k") <= windows).collect()
+    return [(r["lang"], bytes(r["bytes"]), r["size"]) for r in sorted(rows, key=lambda r: (r["lang"], r["k"]))]
 
 
 def fit(docs: DataFrame) -> Network | None:
@@ -266,12 +292,9 @@ def fit(docs: DataFrame) -> Network | None:
     sample = training_sample(docs)
     if not sample:
         return None
-    classes = sorted({x for x, _ in sample})
-    win = np.zeros((len(sample), TRAIN_BYTES), np.uint8)
-    size = np.array([len(raw) for _, raw in sample])
-    for i, (_, raw) in enumerate(sample):
-        win[i, : len(raw)] = np.frombuffer(raw, np.uint8)
-    return train(win, np.arange(TRAIN_BYTES) < size[:, None], np.array([classes.index(x) for x, _ in sample]), classes)
+    classes = sorted({x for x, _, _ in sample})
+    win = np.frombuffer(b"".join(raw for _, raw, _ in sample), np.uint8).reshape(len(sample), -1)
+    return train(win, win > 0, np.array([classes.index(x) for x, _, _ in sample]), classes)
 
 
 def scored(spark: SparkSession, net: Network) -> object:
@@ -303,25 +326,31 @@ def _verdict(docs: DataFrame) -> Column | None:
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, p, positions, agree, keep) for every row of docs.
 
-    Texts are read as UTF-8 in windows of WINDOW bytes; the network labels every byte, and the
+    Texts are read as UTF-8, whole, in windows of WINDOW bytes; the network labels every byte with
+    its state carried over from MARGIN bytes before the window and after it, and the
     probabilities of all bytes are averaged. lang is the likeliest label, p its mean, agree the
-    number of bytes with that label. keep is false below CONFIDENT. Classes are the values of
-    docs.lang, of which a bounded sample (TRAIN_DOCS of each) trains the network.
+    number of bytes with that label. keep is false below CONFIDENT. Classes are all values of
+    docs.lang that any text has, however rare; a bounded sample of labelled documents trains the
+    network (TRAIN_DOCS, TRAIN_WINDOWS), drawing windows of all classes alike.
 
     A null or empty text is 'und' with p 0 and keep false. Rows with a null lang are labelled but
     train nothing. Ties go to the label that sorts first. Repeated rows and null ids are labelled
-    like others. Without labelled texts, all rows are 'und'. Other columns are not read.
+    like others. Without labelled texts there is no network: all rows are 'und' with p 0, and keep
+    is true for texts that aren't empty, as nothing speaks against them. An empty table gives no
+    rows. Other columns are not read.
     """
     said = _verdict(docs)
-    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (said if said is not None else F.lit(None)).alias("s"))
     if said is None:
-        return at.select("doc_id", F.lit("und").alias("lang"), F.lit(0.0).alias("p"), F.lit(0).cast("long").alias("positions"), F.lit(0).cast("long").alias("agree"), F.lit(False).alias("keep"))
+        none = F.coalesce(F.col("text") != "", F.lit(False))
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang"), F.lit(0.0).alias("p"), F.lit(0).cast("long").alias("positions"), F.lit(0).cast("long").alias("agree"), none.alias("keep"))
+    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), said.alias("s"))
     return at.select("doc_id", "s.lang", "s.p", "s.positions", "s.agree", (F.col("s.p") >= CONFIDENT).alias("keep"))
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The rows of docs that identify() keeps, with the columns of docs; without labelled texts all rows go."""
+    """The rows of docs that identify() keeps, with the columns of docs, which may have any name besides doc_id, text and lang."""
     said = _verdict(docs)
     if said is None:
-        return docs.where(F.lit(False))
-    return docs.select("*", said.alias("__said")).where(F.col("__said.p") >= CONFIDENT).drop("__said")
+        return docs.where("text <> ''")
+    (name,) = free_names(docs, "said")
+    return docs.select("*", said.alias(name)).where(F.col(name)["p"] >= CONFIDENT).drop(name)
