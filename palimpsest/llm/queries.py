@@ -60,7 +60,7 @@ with docs as (
   from documents where text is not null
 ), items as (
   select item_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') as w
-  from benchmark where text is not null and item_id is not null
+  from benchmark where text is not null
 ), tests as (
   select distinct item_id, array_to_string(w[i : i + least({decontam.RUN}, len(w)) - 1], ' ') as run, least({decontam.RUN}, len(w)) as n
   from (select item_id, w, unnest(range(1, greatest(1, len(w) - {decontam.RUN} + 1) + 1)) as i from items where w <> [''])

@@ -51,7 +51,9 @@ def test_slices_find_the_same(spark, monkeypatch):
     items = [(k, f"item {k} has its own words number {k} and then some more of them {k}", "") for k in range(30)]
     docs = [(k, f"text {k} item {k} has its own words number {k} and then") for k in range(0, 30, 2)]
     whole = sorted(map(tuple, decontam.contaminated(helpers.texts(spark, docs), table(spark, items)).collect()))
+    left = sorted(r["doc_id"] for r in decontam.drop_contaminated(helpers.texts(spark, docs + [(99, "clean")]), table(spark, items)).collect())
     monkeypatch.setattr(decontam, "SLICE_BYTES", 300)
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(helpers.texts(spark, docs + [(99, "clean")]), table(spark, items)).collect()) == left == [99]
     assert sorted(map(tuple, decontam.contaminated(helpers.texts(spark, docs), table(spark, items)).collect())) == whole and len(whole) == 15
 
 
@@ -59,10 +61,17 @@ def test_edges(spark):
     items = [(1, helpers.EDGES[0][1], "a"), (1, helpers.EDGES[0][1], "b"), (2, None, "c"), (None, "wort wort", "d"), (3, "", "e"), (4, "wort " * 20, None), (5, "漢字 😀", "f"), (6, "a text without an id that is as long as others are here", "")]
     src, bench = helpers.docs(spark), table(spark, items)
     got = sorted(((r["doc_id"], r["item_id"], r["runs"]) for r in decontam.contaminated(src, bench).collect()), key=str)
-    assert got == sorted([(1, 1, 5), (1, 1, 5), (2, 1, 5), (6, 4, 1), (7, 5, 1), (None, 6, 6)], key=str)
+    assert got == sorted([(1, 1, 5), (1, 1, 5), (2, 1, 5), (6, 4, 1), (6, None, 1), (7, 5, 1), (None, 6, 6)], key=str)
     kept = decontam.drop_contaminated(src, bench)
     assert kept.columns == src.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [3, 4, 5, None]
     assert decontam.contaminated(helpers.docs(spark, []), bench).count() == 0
     assert decontam.contaminated(src, bench.limit(0)).count() == 0
     assert decontam.drop_contaminated(src, bench.limit(0)).count() == len(helpers.EDGES)
+
+
+def test_items_without_an_id_count(spark):
+    items = [(None, "these are eight words that no one may train on", ""), (None, "and this is another one of that kind here", "")]
+    docs = helpers.texts(spark, [(1, "so these are eight words that no one may train on it"), (2, "clean"), (None, "and this is another one of that kind here")])
+    assert [r["doc_id"] for r in decontam.drop_contaminated(docs, table(spark, items)).collect()] == [2]
+    assert sorted(map(tuple, decontam.contaminated(docs, table(spark, items)).collect()), key=str) == [(1, None, 3), (None, None, 2)]
