@@ -164,20 +164,28 @@ def train(texts: list[str], y: np.ndarray, seed: int = 0) -> Model:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> list[tuple[str, int]]:
-    """(text, quality) of at most about bound to 2 * bound labelled documents, chosen by a hash of doc_id; the labels of a doc_id that disagree count as 0."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> list[tuple[int, str, int]]:
+    """(id, text, quality) of at most 2 * bound labelled documents, chosen by a hash of doc_id; the labels of a doc_id that disagree count as 0.
+
+    A doc_id with several texts counts with one of them, the one of least hash.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // bound))) == 0)
+    drawn = F.xxhash64("id")
+    chosen = known.where(F.pmod(drawn, F.lit(max(1, n // bound))) == 0).orderBy(drawn, "id").limit(2 * bound)
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "quality").collect()  # at most about 2 * bound rows on the small side
-    return [(r["text"], int(r["quality"] > 0)) for r in sorted(rows, key=lambda r: (r["id"], r["text"]))]
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most 2 * bound rows are broadcast
+    return [(r["id"], r["text"], int(r["quality"] > 0)) for r in sorted(one.collect(), key=lambda r: r["id"])]
+
+
+def fitted(sample: list[tuple[int, str, int]]) -> Model:
+    """The model of a sample; without any rows, every text has probability 0.5."""
+    return train([t for _, t, _ in sample], np.array([q for _, _, q in sample])) if sample else Model(np.zeros(2 * _SIZE, np.float32), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of the labelled documents; without any, every text has probability 0.5."""
-    sample = labelled_sample(docs, labels)
-    return train([t for t, _ in sample], np.array([q for _, q in sample])) if sample else Model(np.zeros(2 * _SIZE, np.float32), 0.0)
+    """The model of the labelled documents."""
+    return fitted(labelled_sample(docs, labels))
 
 
 def scorer(spark: SparkSession, model: Model):
@@ -197,7 +205,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     verdict is 'drop' below KEEP, 'review' below REVIEW, else 'keep'; keep is false for 'drop' and
     for texts that are null, empty or blank, which get p_good 0. Rows with a null doc_id are scored
     too; labels with a null in doc_id or quality are left out, labels without a document are of no
-    use. Repeated rows are scored alike. Whole texts are scored. Other columns are not read.
+    use. Repeated rows are scored alike. Whole texts are scored. An empty table gives no rows.
+    Other columns are not read.
     """
     p = scorer(docs.sparkSession, fit(docs, labels))
     text = F.col("text").cast("string")
