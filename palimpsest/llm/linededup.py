@@ -1,4 +1,4 @@
-"""Line dedup: patience alignment of documents that share lines; common blocks go from the later document."""
+"""Line dedup: patience alignment of documents that share rare lines; common blocks go from the later document."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import free_names, written
 
-#: A common block goes if its lines hold this many characters other than white space.
-BLOCK_CHARS = 20
+#: A common block goes if its lines hold this many characters other than white space; a line in more documents than RARE is hot, and finds no partners.
+BLOCK_CHARS, RARE = 20, 16
 
 _LINE_SCHEMA = "h long, doc_id long, rk long, at array<int>, chars int"
 
@@ -143,14 +143,14 @@ def _filtered(lines: set[int], chars: dict[int, int]) -> list[int]:
     return out
 
 
-_ROW_SCHEMA = "doc_id long, rk long, sig binary, h array<long>, at array<array<int>>, chars array<int>, held array<boolean>, sure array<boolean>, seeks array<boolean>"
+_ROW_SCHEMA = "doc_id long, rk long, sig binary, h array<long>, at array<array<int>>, chars array<int>, hot array<boolean>, held array<boolean>, sure array<boolean>, seeks array<boolean>"
 
 
 def _rows(batches):
     """Of each row its shared lines: sig stands for their sequence; held lines stand in an earlier document; sure ones go
-    in any case; seeks marks those of which only alignments tell."""
+    in any case; seeks marks those of which only alignments or hot blocks tell."""
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("sig", "h", "at", "chars", "held", "sure", "seeks")}
+        out: dict[str, list] = {k: [] for k in ("sig", "h", "at", "chars", "hot", "held", "sure", "seeks")}
         for doc_id, lines in zip(batch.column("doc_id").to_pylist(), batch.column("lines").to_pylist()):
             lines.sort(key=lambda x: x["at"])
             sequence = sorted((i, x["h"]) for x in lines for i in x["at"])
@@ -158,17 +158,50 @@ def _rows(batches):
             held = [x["first_id"] < doc_id for x in lines]
             chars = {i: x["chars"] for x, y in zip(lines, held) if y for i in x["at"]}
             able = set(_filtered(set(chars), chars))
-            sure = [len(x["at"]) == 1 and x["chars"] >= BLOCK_CHARS and x["once_id"] is not None and x["once_id"] < doc_id for x in lines]
+            sure = [y and x["chars"] >= BLOCK_CHARS and (x["hot"] or len(x["at"]) == 1 and x["once_id"] is not None and x["once_id"] < doc_id) for x, y in zip(lines, held)]
             out["seeks"].append([y and not z and not able.isdisjoint(x["at"]) for x, y, z in zip(lines, held, sure)])
-            out["h"].append([x["h"] for x in lines])
-            out["at"].append([x["at"] for x in lines])
-            out["chars"].append([x["chars"] for x in lines])
+            for k in ("h", "at", "chars", "hot"):
+                out[k].append([x[k] for x in lines])
             out["held"].append(held)
             out["sure"].append(sure)
         types = {"sig": pa.binary(), "h": pa.list_(pa.int64()), "at": pa.list_(pa.list_(pa.int32())), "chars": pa.list_(pa.int32())}
         yield pa.record_batch([batch.column("doc_id"), batch.column("rk"), *(pa.array(v, types.get(k, pa.list_(pa.bool_()))) for k, v in out.items())], names=["doc_id", "rk", *out])
 
 
+def hot_blocks(places: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, last) of the runs of two or more consecutive lines, out of {line: (hash, characters)}, that hold BLOCK_CHARS characters
+    but wouldn't without their first or without their last line; every longer run is a union of such ones and of single lines."""
+    out = []
+    run: list[int] = []
+    for i in [*sorted(places), -1]:
+        if run and i != run[-1] + 1:
+            upto = np.concatenate([[0], np.cumsum([places[k][1] for k in run])])
+            n = len(run)
+            ends = np.searchsorted(upto, upto[:-1] + BLOCK_CHARS)  # the least end for each start
+            begins = np.searchsorted(upto, upto[1:] - BLOCK_CHARS, side="right") - 1  # the last start for each end
+            spans = {(a, int(e) - 1) for a, e in enumerate(ends) if e <= n} | {(int(b), e) for e, b in enumerate(begins) if b >= 0}
+            out += [(run[a], run[e]) for a, e in sorted(spans) if e > a]
+            run = []
+        run.append(i)
+    return out
+
+
+def _blocks(batches):
+    for batch in batches:
+        us, docs, rks, firsts, lasts = [], [], [], [], []
+        for doc_id, rk, h, at, chars, hot in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "rk", "h", "at", "chars", "hot"))):
+            if not any(x and c < BLOCK_CHARS for x, c in zip(hot, chars)):
+                continue
+            places = {i: (k, c) for k, x, c, y in zip(h, at, chars, hot) if y for i in x}
+            for a, e in hot_blocks(places):
+                us.append(xxhash.xxh3_64_intdigest(np.array([places[i][0] for i in range(a, e + 1)], np.int64).tobytes()) - (1 << 63))
+                docs.append(doc_id)
+                rks.append(rk)
+                firsts.append(a)
+                lasts.append(e)
+        yield pa.record_batch([pa.array(us, pa.int64()), pa.array(docs, pa.int64()), pa.array(rks, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["u", "doc_id", "rk", "a", "e"])
+
+
 def _pairs(batches):
     for batch in batches:
         gone = []
@@ -181,10 +214,12 @@ def _pairs(batches):
 def _masks(batches):
     for batch in batches:
         docs, rks, masks = [], [], []
-        names = ("doc_id", "rk", "copy", "at", "chars", "held", "sure", "h", "most", "aligned")
-        for doc_id, rk, copy, at, chars, held, sure, h, most, aligned in zip(*(batch.column(k).to_pylist() for k in names)):
+        names = ("doc_id", "rk", "copy", "at", "chars", "held", "sure", "h", "most", "aligned", "blocks")
+        for doc_id, rk, copy, at, chars, held, sure, h, most, aligned, blocks in zip(*(batch.column(k).to_pylist() for k in names)):
             counts = {x["h"]: x["m"] for x in most or ()}
             gone = set(aligned or ())
+            for x in blocks or ():
+                gone.update(range(x["a"], x["e"] + 1))
             for k, x, y, z in zip(h, at, held, sure):
                 gone.update(x if copy or z else x[: counts.get(k, 0)] if y else ())
             out = _filtered(gone, {i: c for x, c in zip(at, chars) for i in x})
@@ -204,11 +239,13 @@ def _row_key() -> F.Column:
 def common_blocks(docs: DataFrame) -> DataFrame:
     """(id, key, gone): for documents that lose lines, a mask over their lines; key is xxhash64 of id and text.
 
-    The result is that of aligning each document with every earlier one that shares a line. Only these pairs are formed:
+    The result is that of aligning each document with every earlier one that shares a rare line, and of looking up hot
+    blocks. Of the pairs only these are formed, at most RARE for a line of a document:
     - of rows with the same sequence of shared lines, the first is a partner for all; the later ones lose them all;
-    - a line of BLOCK_CHARS characters that stands once here and once in an earlier document goes in any case, and one
-      in a run of held lines that is too short never does; partners are sought for other lines only;
+    - a line of BLOCK_CHARS characters that stands once here and once in an earlier document, or that is hot, goes in any
+      case, and one in a run of held lines that is too short never does; partners are sought for rows with other lines only;
     - a partner with one common line takes its first occurrences, as many as it has itself.
+    Hot lines form no pairs: their blocks are hashed and looked up, with work in proportion to the lines.
     """
     lines = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("rk"), F.col("text").cast("string").alias("text"))
@@ -216,57 +253,66 @@ def common_blocks(docs: DataFrame) -> DataFrame:
         .mapInArrow(_lines, _LINE_SCHEMA)
     )
     known = (
-        lines.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.min(F.when(F.size("at") == 1, F.col("doc_id"))).alias("once_id"))
+        lines.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.min(F.when(F.size("at") == 1, F.col("doc_id"))).alias("once_id"), (F.count("*") > RARE).alias("hot"))
         .where("first_id < last_id").drop("last_id")
     )
-    shared = lines.join(known, "h").groupBy("rk", "doc_id").agg(F.collect_set(F.struct("h", "at", "chars", "first_id", "once_id")).alias("lines"))
+    shared = lines.join(known, "h").groupBy("rk", "doc_id").agg(F.collect_set(F.struct("h", "at", "chars", "first_id", "once_id", "hot")).alias("lines"))
     rows = written(shared.mapInArrow(_rows, _ROW_SCHEMA), "rows")
     firsts = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "rk")).alias("first"))
     rows = written(rows.join(firsts, "sig").withColumn("copy", F.col("doc_id") > F.col("first.doc_id")).withColumn("one", (F.col("doc_id") == F.col("first.doc_id")) & (F.col("rk") == F.col("first.rk"))).drop("sig", "first"), "marked")
-    holders = rows.where("one").select(F.col("doc_id").alias("e_id"), F.col("rk").alias("e_rk"), F.explode(F.arrays_zip("h", "at")).alias("x")).select("e_id", "e_rk", "x.h", F.size("x.at").alias("m"))
+    placed = rows.where(F.exists("hot", lambda x: x)).select("doc_id", "rk", "h", "at", "chars", "hot").mapInArrow(_blocks, "u long, doc_id long, rk long, a int, e int")
+    again = placed.groupBy("u").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    blocks = placed.join(again, "u").where("first_id < doc_id").groupBy("doc_id", "rk").agg(F.collect_list(F.struct("a", "e")).alias("blocks"))
+    holders = rows.where("one").select(F.col("doc_id").alias("e_id"), F.col("rk").alias("e_rk"), F.explode(F.arrays_zip("h", "at", "hot")).alias("x")).where("not x.hot").select("e_id", "e_rk", "x.h", F.size("x.at").alias("m"))
     seekers = (
-        rows.where(~F.col("copy") & F.exists("seeks", lambda x: x)).select("doc_id", "rk", F.explode(F.arrays_zip("h", "held", "seeks")).alias("x"))
-        .where("x.held").select("doc_id", "rk", "x.h", "x.seeks")
+        rows.where(~F.col("copy") & F.exists("seeks", lambda x: x))
+        .select("doc_id", "rk", F.exists("hot", lambda x: x).alias("warm"), F.exists(F.zip_with("hot", "seeks", lambda x, y: x & y), lambda x: x).alias("all"), F.explode(F.arrays_zip("h", "held", "seeks", "hot")).alias("x"))
+        .where("x.held and not x.hot").select("doc_id", "rk", "warm", "x.h", (F.col("x.seeks") | F.col("all")).alias("seeks"))
     )
     pairs = written(
         seekers.join(holders, "h").where("e_id < doc_id")
-        .groupBy("doc_id", "rk", "e_id", "e_rk").agg(F.count("*").alias("n"), F.max("seeks").alias("seeks"), F.max("h").alias("h"), F.max("m").alias("m"))
+        .groupBy("doc_id", "rk", "e_id", "e_rk").agg(((F.count("*") == 1) & ~F.max("warm")).alias("single"), F.max("seeks").alias("seeks"), F.max("h").alias("h"), F.max("m").alias("m"))
         .where("seeks").drop("seeks"),
         "pairs",
     )
-    most = pairs.where("n = 1").groupBy("doc_id", "rk", "h").agg(F.max("m").alias("m")).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("h", "m")).alias("most"))
+    most = pairs.where("single").groupBy("doc_id", "rk", "h").agg(F.max("m").alias("m")).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("h", "m")).alias("most"))
     aligned = (
-        pairs.where("n > 1").select("doc_id", "rk", "e_id", "e_rk")
+        pairs.where("not single").select("doc_id", "rk", "e_id", "e_rk")
         .join(rows.where(~F.col("copy")).select("doc_id", "rk", "h", "at", "chars"), ["doc_id", "rk"])
         .join(rows.where("one").select(F.col("doc_id").alias("e_id"), F.col("rk").alias("e_rk"), F.col("h").alias("eh"), F.col("at").alias("eat")), ["e_id", "e_rk"])
         .mapInArrow(_pairs, "doc_id long, rk long, lines array<int>")
         .select("doc_id", "rk", F.explode("lines").alias("line"))
         .groupBy("doc_id", "rk").agg(F.collect_set("line").alias("aligned"))
     )
-    return rows.join(most, ["doc_id", "rk"], "left").join(aligned, ["doc_id", "rk"], "left").mapInArrow(_masks, "id long, key long, gone array<boolean>")
+    told = rows.join(most, ["doc_id", "rk"], "left").join(aligned, ["doc_id", "rk"], "left").join(blocks, ["doc_id", "rk"], "left")
+    return told.mapInArrow(_masks, "id long, key long, gone array<boolean>")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with the cleaned text in place of text, and __lines_gone, the number of lines deleted.
+def dedup_lines(docs: DataFrame, count: str = "__lines_gone") -> DataFrame:
+    """docs with the cleaned text in place of text, and the number of lines deleted in a column named by ``count``.
 
     The lines of a document are its text split at line feeds, compared without outer white space;
     blank lines are never compared. A document is aligned by patience diff with every earlier one
-    (lower doc_id) that shares a line with it, on all lines the two share; blocks that moved are
-    added, and what is aligned with any partner goes from the later document in runs of consecutive
-    lines with at least BLOCK_CHARS characters. All decisions rest on the original texts.
+    (lower doc_id) that shares a rare line with it, one that at most RARE documents hold, on all lines
+    the two share; blocks that moved are added. Lines that more documents hold are hot: a block of
+    consecutive hot lines goes from every document but the first that holds it. What is common in
+    either way goes from the later document in runs of consecutive lines with at least BLOCK_CHARS
+    characters. All decisions rest on the original texts.
 
     A null text, an empty one, and rows without doc_id stay as they are (0 lines gone) and are no
     partners. Rows with the same doc_id are never each other's partner. Repeated rows are all
-    cleaned alike. A text that is deleted whole becomes empty. Other columns are passed through.
+    cleaned alike. A text that is deleted whole becomes empty. An empty table gives no rows. Other
+    columns are passed through, whatever their names; one named as ``count`` is replaced.
     """
-    cut = common_blocks(docs).withColumnsRenamed({"id": "__id", "key": "__key", "gone": "__gone"})
-    kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.coalesce(F.get(F.col("__gone"), i), F.lit(False)))
-    gone = F.size(F.filter("__gone", lambda x: x))
+    names = [c for c in docs.columns if c.lower() != count.lower()]
+    row, id_, key, gone = free_names(docs, "row", "id", "key", "gone")
+    cut = common_blocks(docs).withColumnsRenamed({"id": id_, "key": key, "gone": gone})
+    kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.coalesce(F.get(F.col(gone), i), F.lit(False)))
     return (
-        docs.withColumn("__row", _row_key())
-        .join(cut, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__row") == F.col("__key")), "left")
+        docs.withColumn(row, _row_key())
+        .join(cut, (F.col("doc_id").cast("long") == F.col(id_)) & (F.col(row) == F.col(key)), "left")
         .select(
-            *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-            F.when(F.col("__gone").isNull(), 0).otherwise(gone).alias("__lines_gone"),
+            *[F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
+            F.when(F.col(gone).isNull(), 0).otherwise(F.size(F.filter(gone, lambda x: x))).alias(count),
         )
     )
