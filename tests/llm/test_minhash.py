@@ -2,6 +2,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from palimpsest.llm import minhash
 from palimpsest.llm.common import buffers, word_hashes
@@ -53,6 +55,59 @@ def test_pairs_are_those_of_brute_force(spark, sf):
     assert all(sets.root(i) == sets.root(r) for i, r in found.items())
 
 
+def exhaustive(rows):
+    """Groups by comparing all signatures that share a band, pair by pair; the signatures in whole numbers from the definition."""
+    ids, sigs = [], []
+    for i, t in rows:
+        data, at = buffers(pa.array([t.lower()]))
+        words, _ = word_hashes(data, at)
+        if len(words):
+            sh = [int(x) for x in minhash.shingles(words)]
+            sigs.append([min((int(a) * x + int(b)) % 2**64 >> 32 for x in sh) & 0xFFFF for a, b in zip(minhash._A[:, 0], minhash._B[:, 0])])
+            ids.append(i)
+    sigs, sets, k = np.array(sigs), Sets(), minhash.ROWS
+    for n in range(len(ids)):
+        same = sigs[n + 1 :] == sigs[n]
+        band = same.reshape(len(same), minhash.BANDS, k).all(axis=2).any(axis=1)
+        for m in np.flatnonzero(band & (same.sum(axis=1) >= minhash.ALIKE * minhash.MINIMA)):
+            sets.join(ids[n], ids[n + 1 + m])
+    return {i: sets.root(i) for i in list(sets) if sets.root(i) != i}
+
+
+@pytest.mark.parametrize("split", (minhash.SPLIT, 12))
+def test_large_buckets_lose_no_link(spark, split):
+    """With pieces of twelve nodes the buckets of boilerplate and of groups are large; the groups are still those of all pairs."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        base = [f"w{rng.randrange(400)}" for _ in range(30)]
+        for _ in range(14):
+            words = list(base)
+            for _ in range(rng.randrange(6)):
+                words[rng.randrange(30)] = f"x{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(words)))
+    shared = " ".join(f"boiler{k}" for k in range(12))
+    rows += [(len(rows) + k, f"{shared} " + " ".join(f"y{rng.randrange(10_000)}" for _ in range(12))) for k in range(40)]
+    rng.shuffle(rows)
+    want = exhaustive(rows)
+    found = {r["doc_id"]: r["rep_doc_id"] for r in minhash.near_duplicates(helpers.texts(spark, rows), split).collect()}
+    assert found == want and len(found) > 50
+
+
+def test_rows_are_dropped_by_their_own_texts(spark):
+    a, b = "the first text of some length that has a copy in this table", "quite another text which nobody has copied anywhere at all"
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, a.upper()), (None, "a third text of its own without an id and a copy"), (3, b + " ha"), (4, None), (4, None), (5, "...")]
+    kept = minhash.drop_near_duplicates(helpers.texts(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (2, b), (None, rows[5][1]), (4, None), (5, "...")], key=str)
+
+
+def test_clashing_names(spark):
+    names = ["row_key", "COPIES", "copy_id", "copy_key", "node", "key", "rep", "__row", "__key"]
+    docs = spark.createDataFrame([(k // 2, "the same words in all of these rows here", *names) for k in range(6)], "doc_id long, text string, " + ", ".join(f"`{x}` string" for x in names))
+    out = minhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(0, "the same words in all of these rows here", *names)]
+
+
 def test_components_of_paths_stars_and_random_graphs(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 400)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(300)]
@@ -82,6 +137,7 @@ def test_edges(spark):
     for r in kept.collect():
         ids[r["doc_id"]] += 1
     assert ids == {1: 1, 3: 1, 4: 1, 5: 1, None: 2, 6: 1, 7: 1}
+    assert {r["doc_id"] for r in kept.where("text like '%brown fox%'").collect()} == {1}
     assert minhash.near_duplicates(helpers.docs(spark, [])).count() == 0
     assert minhash.drop_near_duplicates(helpers.docs(spark, [])).count() == 0
 
