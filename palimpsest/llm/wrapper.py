@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import grouped, written
 
-#: Share of the other pages of a host that must have a leaf's text at the aligned place to make it template; greatest depth of a tree.
-CONSTANT, DEPTH = 0.5, 120
+#: Share of the other pages of a host that must have a leaf's text at the aligned place to make it template.
+CONSTANT = 0.5
 #: Depth to which pages are compared for their layout; layouts with this share of common paths are one cluster.
 LAYOUT_DEPTH, LIKE = 4, 0.5
 
@@ -35,8 +36,8 @@ def leaves_and_tree(html: str) -> tuple[list[tuple[str, bool]], list[tuple[int,
     """The text leaves of a page as (text, whether a block begins before it), and its nodes in document order as (depth, label, leaf or -1).
 
     Comments, scripts, styles and the like are no nodes. A label is the tag with its class, id and
-    role. Elements that a start tag closes by rule are closed; stray end tags are dropped; what is
-    deeper than DEPTH becomes a sibling at that depth. White space is collapsed.
+    role. Elements that a start tag closes by rule are closed; stray end tags are dropped. White
+    space is collapsed. A page may be as deep as it likes.
     """
     leaves: list[tuple[str, bool]] = []
     nodes: list[tuple[int, str, int]] = [(0, "#root", -1)]
@@ -47,7 +48,7 @@ def leaves_and_tree(html: str) -> tuple[list[tuple[str, bool]], list[tuple[int,
         if text is not None:
             text = " ".join(entities.unescape(text).split())
             if text:
-                nodes.append((min(len(stack), DEPTH) + 1, "#text", len(leaves)))
+                nodes.append((len(stack) + 1, "#text", len(leaves)))
                 leaves.append((text, block))
                 block = False
         elif tag:
@@ -65,24 +66,21 @@ def leaves_and_tree(html: str) -> tuple[list[tuple[str, bool]], list[tuple[int,
                     if stack[k] in _SCOPE:
                         break
             named = ".".join(f"{a[0].lower()}={a[1] or a[2] or a[3]}" for a in _NAME.findall(rest)) if "=" in rest else ""
-            nodes.append((min(len(stack), DEPTH) + 1, f"{tag}.{named}" if named else tag, -1))
+            nodes.append((len(stack) + 1, f"{tag}.{named}" if named else tag, -1))
             if tag not in _VOID and not rest.endswith("/"):
                 stack.append(tag)
         elif end:
             end = end.lower()
             if end in _BLOCK:
                 block = True
-            if end in stack:
+            if stack and stack[-1] == end:
+                stack.pop()
+            elif end in stack:
                 while stack.pop() != end:
                     pass
     return leaves, nodes
 
 
-#: The upper bit of depth marks the node of a region.
-_NODE = np.dtype([("text", "<u4"), ("label", "<u2"), ("depth", "u1")])
-_REGION = 128
-
-
 @lru_cache(65536)
 def is_region(label: str) -> bool:
     """Whether a label names a region beside the content: nav, footer, aside, menu, or such a class, id or role."""
@@ -92,22 +90,51 @@ def is_region(label: str) -> bool:
 
 def regions(nodes: list[tuple[int, str, int]]) -> list[bool]:
     """For each node whether it is a region that lies in no article and no main part."""
-    out, inner = [], DEPTH + 2
+    none = float("inf")
+    out, inner = [], none
     for depth, label, _ in nodes:
         if depth <= inner:
-            inner = depth if label.partition(".")[0] in _INNER else DEPTH + 2
-        out.append(inner > DEPTH + 1 and is_region(label))
+            inner = depth if label.partition(".")[0] in _INNER else none
+        out.append(inner == none and is_region(label))
     return out
 
 
 def packed(html: str) -> bytes:
-    """The tree of a page in 7 bytes a node: hash of the text of a leaf, hash of the label, depth and whether it is a region."""
+    """The tree of a page in some 2 bytes a node and 8 a leaf and a kind of label.
+
+    The numbers of nodes and of different labels; the 64-bit hash of each label; of each node the number of its label and
+    its depth, both in 1, 2 or 4 bytes as they need; whether it is a region, in bits; the 64-bit hashes of the texts.
+    """
     leaves, nodes = leaves_and_tree(html)
-    out = np.zeros(len(nodes), _NODE)
-    out["depth"] = [d + _REGION * x for (d, _, _), x in zip(nodes, regions(nodes))]
-    out["label"] = [xxhash.xxh32_intdigest(label) & 0xFFFF for _, label, _ in nodes]
-    out["text"] = [xxhash.xxh32_intdigest(leaves[k][0]) | 1 if k >= 0 else 0 for _, _, k in nodes]
-    return out.tobytes()
+    number: dict[str, int] = {}
+    labels = np.array([number.setdefault(label, len(number)) for _, label, _ in nodes])
+    depths = np.array([d for d, _, _ in nodes])
+    wide = [np.dtype(np.min_scalar_type(int(x.max()))) for x in (labels, depths)]
+    return b"".join(
+        [
+            np.array([len(nodes), len(number), number.get("#text", -1), wide[0].itemsize, wide[1].itemsize], "<i4").tobytes(),
+            np.array([xxhash.xxh3_64_intdigest(x) for x in number], "<u8").tobytes(),
+            labels.astype(wide[0]).tobytes(), depths.astype(wide[1]).tobytes(),
+            np.packbits(regions(nodes)).tobytes(),
+            np.array([xxhash.xxh3_64_intdigest(leaves[k][0]) | 1 for _, _, k in nodes if k >= 0], "<u8").tobytes(),
+        ]
+    )
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each node the hash of its label, its depth, whether it is a region, and the hash of its text, 0 if it is no leaf."""
+    n, kinds, leaf, a, b = np.frombuffer(raw, "<i4", 5).tolist()
+    at = 20
+    hashes = np.frombuffer(raw, "<u8", kinds, at)
+    at += 8 * kinds
+    labels = np.frombuffer(raw, f"<u{a}", n, at)
+    at += a * n
+    depths = np.frombuffer(raw, f"<u{b}", n, at).astype(np.int64)
+    at += b * n
+    region = np.unpackbits(np.frombuffer(raw, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+    text = np.zeros(n, np.uint64)
+    text[labels == leaf] = np.frombuffer(raw, "<u8", offset=at + (n + 7) // 8)
+    return hashes[labels], depths, region, text
 
 
 class Shapes:
@@ -205,10 +232,7 @@ class Tree:
     """A packed tree with children, shapes and leaf numbers."""
 
     def __init__(self, raw: bytes, shapes: Shapes):
-        nodes = np.frombuffer(raw, _NODE)
-        self.text = nodes["text"].tolist()
-        labels, depths = nodes["label"].tolist(), (nodes["depth"] % _REGION).tolist()
-        self.region = (nodes["depth"] >= _REGION).tolist()
+        labels, depths, self.region, self.text = (x.tolist() for x in unpacked(raw))
         self.kids: list[list[int]] = [[] for _ in labels]
         path: list[int] = []
         for i, d in enumerate(depths):
@@ -254,11 +278,10 @@ def same_leaves(page: Tree, seed: Tree, shapes: Shapes) -> list[tuple[int, int]]
 
 def layout(raw: bytes) -> list[int]:
     """Hashes of the paths of labels that a packed tree has down to LAYOUT_DEPTH, without leaves."""
-    nodes = np.frombuffer(raw, _NODE)
-    depths = nodes["depth"] % _REGION
-    upper = (depths <= LAYOUT_DEPTH) & (nodes["text"] == 0)
+    labels, depths, _, text = unpacked(raw)
+    upper = (depths <= LAYOUT_DEPTH) & (text == 0)
     path, out = [0] * (LAYOUT_DEPTH + 2), set()
-    for d, label in zip(depths[upper].tolist(), nodes["label"][upper].tolist()):
+    for d, label in zip(depths[upper].tolist(), labels[upper].tolist()):
         path[d + 1] = (path[d] * 1_000_003 + label + 1) % 2_147_483_647
         out.add(path[d + 1])
     return sorted(out)
@@ -290,6 +313,7 @@ def _clusters(batches):
 
 
 def _match(batches):
+    sys.setrecursionlimit(1_000_000)  # as deep as pages go; calls among Python functions take no stack of the machine
     shapes = Shapes()
     seeds = lru_cache(256)(lambda raw: Tree(raw, shapes))
     for batch in batches:
@@ -350,7 +374,7 @@ def extract(pages: DataFrame) -> DataFrame:
     region with text at the aligned place, and all leaves of such a region of a page are template.
     All other leaves are content, whole: constant parts of a leaf whose text varies stay.
 
-    Pages are joined with their seeds in 7 bytes a node, so a host with most of the pages is no
+    Pages are joined with their seeds in a few bytes a node, so a host with most of the pages is no
     heavier than its share, and Spark can split it. The distinct layouts of a host are clustered in one
     task, in time that grows with the number of layouts times that of clusters.
 

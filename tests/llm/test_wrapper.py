@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from functools import cache
 
 from palimpsest.llm import wrapper
 
@@ -54,27 +56,129 @@ def test_template_goes_and_content_stays(spark):
         assert r["template_leaves"] == 3
 
 
-def test_as_brute_force_over_the_table(spark, sf):
-    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
-    got = {r["page_id"]: (r["content"], r["leaves"], r["template_leaves"]) for r in wrapper.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
-    hosts = {}
+def nested(html):
+    """(label, kids, leaf number, region) of a page, from its nodes in document order."""
+    _, nodes = wrapper.leaves_and_tree(html)
+    marks, path, root = wrapper.regions(nodes), [], None
+    for (depth, label, leaf), region in zip(nodes, marks):
+        node = (label, [], leaf, region)
+        while path and path[-1][0] >= depth:
+            path.pop()
+        if path:
+            path[-1][1][1].append(node)
+        path.append((depth, node))
+        root = root or node
+    return root
+
+
+def shape(t):
+    return (t[0], tuple(shape(k) for k in t[1]))
+
+
+@cache
+def matched(a, b):
+    """Simple tree matching of two shapes by its definition."""
+    if a[0] != b[0]:
+        return 0
+    return 1 + table(a[1], b[1])[-1][-1]
+
+
+@cache
+def table(x, y):
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + matched(a, b))
+    return m
+
+
+def leaves_of(t):
+    return ([t[2]] if t[2] >= 0 else []) + [x for k in t[1] for x in leaves_of(k)]
+
+
+def alignment(x, y):
+    """Of the best alignments of two lists of shapes the one that pairs equal beginnings and ends, then leaves out of x before y from the end."""
+    lo = 0
+    while lo < min(len(x), len(y)) and x[lo] == y[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(x), len(y)) - lo and x[-1 - hi] == y[-1 - hi]:
+        hi += 1
+    out = [(i, i) for i in range(lo)] + [(len(x) - 1 - k, len(y) - 1 - k) for k in range(hi)]
+    p, q = x[lo : len(x) - hi], y[lo : len(y) - hi]
+    if len(p) == 1 and q:
+        best = max(range(len(q)), key=lambda j: (matched(p[0], q[j]), -j))
+        return out + [(lo, lo + best)] * (matched(p[0], q[best]) > 0)
+    m, i, j = table(p, q), len(p), len(q)
+    while i and j:
+        if m[i][j] == m[i - 1][j]:
+            i -= 1
+        elif m[i][j] == m[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((lo + i, lo + j))
+    return out
+
+
+def places(page, seed, texts, seed_texts, out, at=()):
+    """Leaves of a page with what of the seed they tell of: a leaf of equal text, or a region by its place."""
+    if page[2] >= 0:
+        if seed[2] >= 0 and texts[page[2]] == seed_texts[seed[2]]:
+            out.append((page[2], seed[2]))
+        return out
+    if page[3] and seed[3]:
+        out += [(k, ("region", at)) for k in leaves_of(page)]
+    for i, j in alignment(tuple(map(shape, page[1])), tuple(map(shape, seed[1]))):
+        places(page[1][i], seed[1][j], texts, seed_texts, out, (*at, j))
+    return out
+
+
+def brute(rows):
+    """{page: leaf numbers that are template} for pages of one layout a host; nothing but the parser is the module's."""
+    hosts, out = {}, {}
     for i, u, h in sorted(rows):
         hosts.setdefault(u.split("//")[1].split("/")[0].lower(), []).append((i, h))
     for pages in hosts.values():
-        shapes = wrapper.Shapes()
-        trees = {i: wrapper.Tree(wrapper.packed(h), shapes) for i, h in pages if h}
-        seed, votes, pairs = pages[0][0], {}, {}
-        for i, t in trees.items():
-            pairs[i] = wrapper.same_leaves(t, trees[seed], shapes)
-            if i != seed:
-                for _, b in pairs[i]:
-                    votes[b] = votes.get(b, 0) + 1
-        fixed = {b for b, n in votes.items() if n >= wrapper.CONSTANT * (len(trees) - 1)}
-        for i, h in pages:
-            leaves, _ = wrapper.leaves_and_tree(h or "")
-            gone = {a for a, b in pairs.get(i, []) if b in fixed}
-            assert got[i][1:] == (len(leaves), len(gone))
-            assert got[i][0].split() == " ".join(t for k, (t, _) in enumerate(leaves) if k not in gone).split()
+        texts = {i: [t for t, _ in wrapper.leaves_and_tree(h)[0]] for i, h in pages}
+        seed = pages[0][0]
+        trees = {i: nested(h) for i, h in pages}
+        told = {i: places(trees[i], trees[seed], texts[i], texts[seed], []) for i in trees}
+        votes = Counter(b for i, x in told.items() if i != seed for b in {b for _, b in x})
+        fixed = {b for b, n in votes.items() if n >= wrapper.CONSTANT * (len(trees) - 1)} if len(trees) > 1 else set()
+        out |= {i: (texts[i], {a for a, b in told[i] if b in fixed}) for i in trees}
+    return out
+
+
+def test_as_brute_force_over_the_table(spark, sf):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect() if r["html"]]
+    rng = random.Random(12)
+    for k in range(24):
+        body = "".join(rng.choice(["<p>same words</p>", f"<p>own {k} {rng.random()}</p>", "<ul><li>a<li>b</ul>", "<div class=ad>buy</div>", f"<div class=x><b>{k}</b> part</div>"]) for _ in range(rng.randrange(7)))
+        rows.append((90_000 + k, f"http://made{k % 2}.example/{k}", f"<html><head><title>t</title></head><body><nav><a>one</a><a>two {k}</a></nav>{body}<footer>end {k % 3}</footer></body></html>"))
+    got = {r["page_id"]: r for r in wrapper.extract(spark.createDataFrame([(*r, None, None) for r in rows], "page_id long, url string, html string, host string, gone int")).collect()}
+    removed = 0
+    for i, (texts, gone) in brute(rows).items():
+        assert (got[i]["leaves"], got[i]["template_leaves"]) == (len(texts), len(gone)), i
+        assert got[i]["content"].split() == " ".join(t for k, t in enumerate(texts) if k not in gone).split()
+        removed += len(gone)
+    assert removed > 100
+
+
+def test_deep_pages_are_aligned_whole(spark):
+    """3,000 levels: the labels and texts at the bottom count like all others."""
+    deep = lambda k: "<div>" * 3000 + f"<p>same at the bottom</p><p>own {k}</p>" + "</div>" * 3000 + f"<p>top {k}</p>"
+    rows = [(k, f"http://deep.example/{k}", deep(k), None, None) for k in range(4)]
+    got = {r["page_id"]: r for r in wrapper.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[k]["content"].split("\n") == [f"own {k}", f"top {k}"] and got[k]["template_leaves"] == 1 for k in range(4))
+    _, depths, _, text = wrapper.unpacked(wrapper.packed(deep(1)))
+    assert depths.max() == 3002 and (text > 0).sum() == 3
+
+
+def test_labels_and_texts_do_not_collide():
+    html = "".join(f"<div id=post-{k}>text {k}</div>" for k in range(5000))
+    labels, _, _, text = wrapper.unpacked(wrapper.packed(html))
+    assert len(set(labels.tolist())) == 5002 and len(set(text.tolist())) == 5001
 
 
 def test_edges(spark):
