@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text
 from palimpsest.operators import search
 from palimpsest.plans.regex import PatternError
+from palimpsest.sources.shared import written
 from palimpsest.sources.store import Store
 from palimpsest.streaming.reindex import reindex_from, watch
 
@@ -69,13 +70,25 @@ def query_for(mode: str, query: str) -> search.Query:
         raise BadRequest(str(wrong)) from wrong
 
 
+class _Answer:
+    """The hits of one query, as a written table, and the pages read from it so far; its lock is held while they are made."""
+
+    def __init__(self) -> None:
+        self.lock = threading.Lock()
+        self.found: DataFrame | None = None
+        self.pages: dict[tuple[int, int], list] = {}
+
+
 class Engine:
-    """Answers queries from a stored index. A query's matching files are found once, kept under its text, and read page by page."""
+    """Answers queries from a stored index. A query's hits are found once, written to the shared folder, and read page by page.
+
+    The lock of the cache is held for its own upkeep only, so different queries run side by side; equal ones wait for the first.
+    """
 
     def __init__(self, store: Store, cached: int = CACHED_QUERIES):
         self.store, self.most = store, cached
-        self.cache: OrderedDict[tuple[str, str], tuple[DataFrame, dict[tuple[int, int], list]]] = OrderedDict()
-        self.lock = threading.RLock()
+        self.cache: OrderedDict[tuple[str, str], _Answer] = OrderedDict()
+        self.lock = threading.Lock()
 
     def clear(self, *_) -> None:
         """Forgets all answers, as after an append."""
@@ -104,17 +117,23 @@ class Engine:
         """{'results': [...]} of one page in the order of paths; a page size of 0 gives none."""
         key = (mode, query.strip())
         with self.lock:
-            if key in self.cache:
-                self.cache.move_to_end(key)
-            else:
-                self.cache[key] = (self.hits(*key), {})
-                while len(self.cache) > self.most:
-                    self.cache.popitem(last=False)
-            found, pages = self.cache[key]
-            if (page, page_size) not in pages:
-                rows = self.detailed(search.page(found, page, page_size)).orderBy("file_path")
-                pages[page, page_size] = [json.loads(r[0]) for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
-            return {"results": pages[page, page_size]}
+            mine = self.cache.setdefault(key, _Answer())
+            self.cache.move_to_end(key)
+            while len(self.cache) > self.most:
+                self.cache.popitem(last=False)
+        with mine.lock:
+            if mine.found is None:
+                try:
+                    mine.found = written(self.hits(*key), "hits")
+                except Exception:
+                    with self.lock:
+                        if self.cache.get(key) is mine:
+                            del self.cache[key]
+                    raise
+            if (page, page_size) not in mine.pages:
+                rows = self.detailed(search.page(mine.found, page, page_size)).orderBy("file_path")
+                mine.pages[page, page_size] = [json.loads(r[0]) for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+            return {"results": mine.pages[page, page_size]}
 
     def index(self, repo: str, branch: str = "HEAD") -> int | None:
         """Appends the new commits of a repository; answers are forgotten if there are any."""

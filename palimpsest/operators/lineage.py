@@ -8,8 +8,10 @@ at the last commit before a removal and around repeated additions; search uses p
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +27,7 @@ class Pieces:
 
     def __init__(self, commit: int | None = None, lines: int = 0):
         self.pieces: list[tuple[int, int, int]] = [(lines, commit, 0)] if lines else []
+        self._ends: list[int] | None = None
 
     @classmethod
     def of(cls, ends: list[int], origins: list[Place]) -> "Pieces":
@@ -33,18 +36,17 @@ class Pieces:
         return out
 
     def ends(self) -> list[int]:
-        out, at = [], 0
-        for n, _, _ in self.pieces:
-            at += n
-            out.append(at)
-        return out
+        """Where each piece ends; kept until an edit."""
+        if self._ends is None:
+            self._ends = list(accumulate(n for n, _, _ in self.pieces))
+        return self._ends
 
     def origins(self) -> list[Place]:
         return [(c, s) for _, c, s in self.pieces]
 
     def piece_at(self, line: int) -> int:
-        """The number of the piece with a line; the number of pieces if it is beyond the end, 0 if there is none."""
-        return next((k for k, e in enumerate(self.ends()) if line < e), len(self.pieces))
+        """The number of the piece with a line, by bisection; the number of pieces if it is beyond the end, 0 if there is none."""
+        return bisect_right(self.ends(), line)
 
     def origin(self, line: int) -> Place:
         k = self.piece_at(line)
@@ -53,22 +55,24 @@ class Pieces:
 
     def _cut(self, line: int) -> int:
         """Makes a piece begin at a line; its number."""
-        at = 0
-        for k, (n, c, s) in enumerate(self.pieces):
-            if at == line:
-                return k
-            if at < line < at + n:
-                self.pieces[k : k + 1] = [(line - at, c, s), (n - line + at, c, s + line - at)]
-                return k + 1
-            at += n
-        if at != line:
-            raise ValueError(f"line {line} is beyond the end, {at}")
-        return len(self.pieces)
+        k = self.piece_at(line)
+        if k == len(self.pieces):
+            if line != (at := self.ends()[-1] if k else 0):
+                raise ValueError(f"line {line} is beyond the end, {at}")
+            return k
+        n, c, s = self.pieces[k]
+        into = line - (self.ends()[k] - n)
+        if not into:
+            return k
+        self.pieces[k : k + 1] = [(into, c, s), (n - into, c, s + into)]
+        self._ends = None
+        return k + 1
 
     def add(self, line: int, n: int, origin: Place) -> None:
         """n lines that origin brought in, before ``line``."""
         if n:
             self.pieces.insert(self._cut(line), (n, *origin))
+            self._ends = None
 
     def delete(self, line: int, n: int) -> list[tuple[int, int, int]]:
         """Removes n lines from ``line`` on; (commit, first line, line after the last) of what went, in order."""
@@ -78,6 +82,7 @@ class Pieces:
         b = self._cut(line + n)
         gone = [(c, s, s + k) for k, c, s in self.pieces[a:b]]
         del self.pieces[a:b]
+        self._ends = None
         return gone
 
     def delete_all(self) -> list[tuple[int, int, int]]:

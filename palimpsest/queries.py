@@ -64,6 +64,29 @@ _EACH = "each_line as (select path, commit_index, until, head, unnest(ll) as lin
 _TOK = "tok as (select path, commit_index, until, head, line_no, unnest(case when length(line) = 0 then [] when length(line) < 3 then [line] else list_transform(range(1, length(line) - 1), lambda i: substring(line, i, 3)) end) as token from each_line)"
 
 
+_stores: dict[tuple[str, str, str], Store] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, base=documents) -> Store:
+    """The stored index of a history, built once in a session and read by all queries that go through an index."""
+    key = (spark.sparkContext.applicationId, sf_dir, base.__name__)
+    if key not in _stores:
+        h = base(spark, sf_dir)
+        number = F.col("commit_index")
+        commits = h.select("commit_index").distinct().select("commit_index", number.cast("string").alias("commit_id"), F.timestamp_seconds(number).alias("commit_time"), number.cast("string").alias("summary"))
+        store = Store(spark, new_folder(spark, "index"))
+        store.append(commits, h)
+        _stores[key] = store
+    return _stores[key]
+
+
+def by_index(spark: SparkSession, sf_dir: str, base, q: search.Query) -> DataFrame:
+    """First and last commits of the files that match, found through the stored postings."""
+    store = stored(spark, sf_dir, base)
+    found, pruned = store.changes(), store.candidates(q.alternatives)
+    return search.first_last(search.matching(found if pruned is None else found.join(pruned, "path", "left_semi"), q), store.changes(), store.head_row())
+
+
 def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
@@ -99,6 +122,13 @@ def postings(spark, sf_dir):
     return index.postings(documents(spark, sf_dir))
 
 
+@query("index_build", _with(*_TOKENS) + "select path, count(distinct token) as n_tokens from tok group by path")
+def index_build(spark, sf_dir):
+    """Builds the stored index anew and counts what it holds."""
+    _stores.pop((spark.sparkContext.applicationId, sf_dir, documents.__name__), None)
+    return stored(spark, sf_dir).postings().groupBy("path").agg(F.count_distinct("token").alias("n_tokens"))
+
+
 @query("version_tokens", _with(*_TOKENS) + "select path, commit_index, count(distinct token) as n_tokens from tok group by path, commit_index")
 def version_tokens(spark, sf_dir):
     return index.version_tokens(documents(spark, sf_dir)).groupBy("path", "commit_index").agg(F.count("*").alias("n_tokens"))
@@ -181,8 +211,7 @@ def _plain(name: str, words: str, base=documents, v: str = _V):
 
     @query(f"{name}_by_index", _with(v) + _SEEN.format(_both(*words.split())))
     def run_by_index(spark, sf_dir):
-        h = base(spark, sf_dir)
-        return search.first_last(search.matching(h, search.plain(words), postings=index.version_tokens(h)), h)
+        return by_index(spark, sf_dir, base, search.plain(words))
 
 
 _plain("plain_one_word", "und")
@@ -212,8 +241,7 @@ def _regex(name: str, pattern: str, base=documents, v: str = _V):
 
     @query(f"{name}_by_index", sql)
     def run_by_index(spark, sf_dir):
-        h = base(spark, sf_dir)
-        return search.first_last(search.matching(h, search.pattern(pattern), postings=index.version_tokens(h)), h)
+        return by_index(spark, sf_dir, base, search.pattern(pattern))
 
 
 _regex("regex_literal", "er un")
@@ -285,12 +313,28 @@ def leftmost_first_words(spark, sf_dir):
     return documents(spark, sf_dir).select("path", "commit_index", F.array_join(text.found_words("content", ["und", "under", "der"]), ",").alias("words"))
 
 
-@query("search_hits")
+@query("search_hits", _with(*_AROUND, """
+ends as (select n.path, min(n.commit_index) as first, max(n.commit_index) as newest, max(v.head) as head, max(case when v.until > v.head then v.head else v.commit_index end) as last from (select distinct path, commit_index from hit) n join v on v.path = n.path and v.commit_index = n.commit_index group by n.path),
+sides as (select path, 'first' as side, first as at, first as commit_index, first = head as is_head from ends union all select path, 'last', newest, last, last = head from ends where last > first)
+""") + f"select s.path, s.side, s.commit_index, s.is_head, a.line_no, a.line, coalesce(case when h.k <= 11 then regexp_extract(a.line, '{PATTERN}') end, '') as term from sides s join around a on a.path = s.path and a.commit_index = s.at left join hit h on h.path = a.path and h.commit_index = a.commit_index and h.line_no = a.line_no")
 def search_hits(spark, sf_dir):
+    """Every line of the first and the last match of each file, with what is marked in it."""
     q = search.pattern(PATTERN)
     h = documents(spark, sf_dir)
     found = search.hits(search.matching(h, q), q, h)
-    return found.select("path", F.to_json("first_match").alias("first_match"), F.to_json("last_match").alias("last_match"))
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"{k}_match").alias("m")) for k in ("first", "last")])
+    lines = found.select("path", F.explode(sides).alias("s")).where("s.m is not null").select("path", "s.side", "s.m.commit_index", "s.m.is_head", F.explode("s.m.lines").alias("x"))
+    return lines.select("path", "side", "commit_index", "is_head", F.col("x.line_number").alias("line_no"), F.col("x.content").alias("line"), F.array_join(F.transform("x.highlights", lambda m: m["term"]), ",").alias("term"))
+
+
+@query("seen_labels", _with(_V, "s as (" + _SEEN.format(_both("und", "der")) + ")") + """, l as (select path, first_commit, last_commit, (select max(doc_id) from documents) as head from s)
+select path, 'First seen at ' || case when first_commit = head then 'HEAD' else left(md5(cast(first_commit as varchar)), 8) end || strftime(make_timestamp(first_commit * 1000000), ' (at %Y-%m-%d %H:%M)')
+|| case when last_commit is null then ', never seen afterwards' else ', last seen at ' || case when last_commit = head then 'HEAD' else left(md5(cast(last_commit as varchar)), 8) end || strftime(make_timestamp(last_commit * 1000000), ' (at %Y-%m-%d %H:%M)') end as seen from l""")
+def seen_labels(spark, sf_dir):
+    h = documents(spark, sf_dir)
+    found = search.first_last(search.matching(h, search.plain("und der")), h).crossJoin(F.broadcast(history.head_of(h)))
+    label = lambda c: text.commit_label(F.md5(F.col(c).cast("string")), F.timestamp_seconds(c), F.col(c) == F.col("head"))
+    return found.select("path", text.seen_text(label("first_commit"), label("last_commit")).alias("seen"))
 
 
 @query("search_page", _with(_V) + _SEEN.format(_both("und", "der")) + " order by path limit 10 offset 10")
@@ -305,7 +349,14 @@ def top_files(spark, sf_dir):
     return search.page(search.first_last(search.matching(h, search.plain("und")), h), 0, 10)
 
 
-@query("debounced_signals")
+@query("debounced_signals", """
+with recursive ev as materialized (select cast(user_id as varchar) as key, epoch_us(ts) as t from events where user_id is not null and ts is not null),
+fired as (
+  select key, min(t) + 3600000000 as due, min(t) as armed from ev group by key
+  union all
+  select f.key, min(e.t) + 3600000000, min(e.t) from fired f join ev e on e.key = f.key and e.t >= f.due group by f.key
+)
+select f.key, make_timestamp(f.due) as signal_at, count(*) - 1 as dropped from fired f join ev e on e.key = f.key and e.t >= f.armed and e.t < f.due group by f.key, f.due""")
 def debounced_signals(spark, sf_dir):
     return debounced(read(spark, sf_dir, "events"), "user_id", "ts", 3600.0)
 
@@ -313,6 +364,12 @@ def debounced_signals(spark, sf_dir):
 # ---- lines, commits and provenance -----------------------------------------------------------
 
 
+@query("numbered_commits", "select cast(doc_id as varchar) as commit_id, row_number() over (order by source, cast(doc_id as varchar)) - 1 as commit_index from documents")
+def numbered_commits(spark, sf_dir):
+    commits = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("commit_id"), "source")
+    return history.numbered_commits(commits, "source").select("commit_id", "commit_index")
+
+
 @query("line_counts", _with(_V, _lines()) + "select path, commit_index, len(ll) as n_lines from ls")
 def line_counts(spark, sf_dir):
     return documents(spark, sf_dir).where("content <> ''").select("path", "commit_index", F.size(text.lines("content")).alias("n_lines"))
@@ -340,17 +397,42 @@ def commit_details(spark, sf_dir):
     return found.join(meta, "first_commit").crossJoin(head).select("path", "first_commit", "last_commit", F.coalesce(F.col("last_commit") == F.col("head"), F.lit(False)).alias("is_head"), "lang", "n_chars")
 
 
-@query("removed_tokens", _with(_C, _lines(), _EACH, _TOK, "n as (select path, commit_index, lead(commit_index) over (partition by path order by commit_index) as later from v)", "t as (select distinct path, commit_index, token from tok)") + "select t.path, n.later as commit_index, t.token from t join n on t.path = n.path and t.commit_index = n.commit_index and n.later is not null left join t u on u.path = t.path and u.commit_index = n.later and u.token = t.token where u.token is null")
+@query("removed_tokens", _with(_C, _lines(), _EACH, _TOK, """
+t as materialized (select path, commit_index, list(distinct token) as held from tok group by path, commit_index),
+n as materialized (select path, commit_index, lag(commit_index) over (partition by path order by commit_index) as before from v),
+gone as (select n.path, n.commit_index, list_filter(had.held, lambda x: not list_contains(coalesce(now.held, []), x)) as tokens
+from n join t had on had.path = n.path and had.commit_index = n.before left join t now on now.path = n.path and now.commit_index = n.commit_index)
+""") + "select path, commit_index, unnest(tokens) as token from gone")
 def removed_tokens(spark, sf_dir):
     h = conversations(spark, sf_dir)
     before = F.lag(text.tokens("content")).over(Window.partitionBy("path").orderBy("commit_index"))
     return h.withColumn("had", before).where("had is not null").select("path", "commit_index", F.explode(F.array_except("had", text.tokens("content"))).alias("token"))
 
 
-@query("text_pages", "select page_id, true as is_text from pages where html is not null")
+_HEAD = "left(hex({}), 2 * 8192)"
+_MARK = "regexp_matches(" + _HEAD + ", '^(?:..)*?(?:EFBBBF|FEFF|FFFE)')"
+_FILES = """files as (
+  select page_id, 'plain' as kind, encode(html) as b, true as valid, '' as magic from pages where html is not null
+  union all select page_id, 'marked', '\\xEF\\xBB\\xBF'::blob || encode(html), true, '' from pages where html is not null
+  union all select page_id, 'marked late', encode(html) || encode(repeat('x', 9000)) || '\\xEF\\xBB\\xBF'::blob, true, '' from pages where html is not null
+  union all select page_id, 'broken', encode(html) || '\\xFF'::blob, false, '' from pages where html is not null
+  union all select page_id, 'signed', '\\x25\\x50\\x44\\x46\\xFE\\xFF'::blob || encode(html), false, '25504446' from pages where html is not null
+  union all select page_id, 'signed text', '\\x25\\x50\\x44\\x46\\xEF\\xBB\\xBF'::blob || encode(html), true, '25504446' from pages where html is not null)"""
+
+
+@query("text_pages", _with(_FILES) + f"select page_id, kind, magic <> '' and left(hex(b), 8) = magic as signed, (magic <> '' and left(hex(b), 8) = magic or not {_MARK.format('b')}) as first_test, (magic <> '' and left(hex(b), 8) = magic or not {_MARK.format('b')}) and valid as is_text from files")
 def text_pages(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").where("html is not null")
-    return pages.select("page_id", encoding.is_text(F.col("html").cast("binary"), F.lit("page.html")).alias("is_text"))
+    """Pages as files, as they are and with byte order marks, broken ends and signatures."""
+    html = F.col("html").cast("binary")
+    raw = lambda x: F.unhex(F.lit(x))
+    kinds = {
+        "plain": (html, "page.html"), "marked": (F.concat(raw("EFBBBF"), html), "page.html"), "marked late": (F.concat(html, F.repeat(F.lit("x"), F.lit(9000)).cast("binary"), raw("EFBBBF")), "page.html"),
+        "broken": (F.concat(html, raw("FF")), "page.html"), "signed": (F.concat(raw("25504446FEFF"), html), "dir.d/page.pdf"), "signed text": (F.concat(raw("25504446EFBBBF"), html), "page.pdf"),
+    }
+    files = F.array(*[F.struct(F.lit(k).alias("kind"), b.alias("b"), F.lit(p).alias("path")) for k, (b, p) in kinds.items()])
+    rows = read(spark, sf_dir, "pages").where("html is not null").select("page_id", F.explode(files).alias("f")).select("page_id", "f.*")
+    ext = encoding.extension(F.col("path"))
+    return rows.select("page_id", "kind", encoding.has_signature(F.col("b"), ext).alias("signed"), encoding.looks_like_text(F.col("b"), ext).alias("first_test"), encoding.is_text(F.col("b"), F.col("path")).alias("is_text"))
 
 
 @query("stored_index_search", _with(_V) + _SEEN.format(_both("und", "der")))

@@ -23,6 +23,12 @@ def commits(repo: str, branch: str = "HEAD") -> list[str]:
         return []
 
 
+def count(repo: str, branch: str = "HEAD", since: str | None = None) -> int:
+    """How many commits an index of the branch, or of what came after the commit ``since``, has to take; for progress."""
+    ids = commits(repo, branch)
+    return len(ids) - (ids.index(since) + 1 if since in ids else 0)
+
+
 class _Range(InputPartition):
     def __init__(self, first: int, ids: list[str], before: str | None):
         super().__init__((first, ids[0] if ids else ""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.shared import written
+
 
 def changes(table: DataFrame, path: Column | str, commit: Column | str, content: Column | str, deleted: Column | None = None) -> DataFrame:
     """(path, commit_index, content) for every row of a table that says what a file became in a commit.
@@ -38,9 +40,17 @@ def change(versions: DataFrame) -> Column:
     return F.when(F.col("content").isNull(), "D").when(before.isNull(), "A").otherwise("M")
 
 
-def numbered_commits(commits: DataFrame, order: Column | str, commit_id: str = "commit_id") -> DataFrame:
-    """commits with commit_index, counted from 0 in the given order; one row per commit, so commits only, not files."""
-    return commits.dropDuplicates([commit_id]).withColumn("commit_index", F.row_number().over(Window.orderBy(order, commit_id)).cast("long") - 1)
+def numbered_commits(commits: DataFrame, order: str, commit_id: str = "commit_id") -> DataFrame:
+    """commits, one row for each id, with commit_index, counted from 0 by ``order`` and then by id.
+
+    Ranges are sorted and numbered apart and written; only the ranges' sizes, one row each, are added up in one place.
+    """
+    one = commits.dropDuplicates([commit_id]).repartitionByRange(order, commit_id).sortWithinPartitions(order, commit_id)
+    at = F.monotonically_increasing_id()
+    ranges = written(one.withColumns({"__range": F.shiftright(at, 33), "__nth": at.bitwiseAND((1 << 33) - 1)}), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return ranges.join(F.broadcast(starts), "__range").withColumn("commit_index", F.col("__start") + F.col("__nth")).drop("__range", "__nth", "__start")
 
 
 def at_commit(versions: DataFrame, wanted: DataFrame) -> DataFrame:

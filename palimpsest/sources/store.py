@@ -14,6 +14,7 @@ TABLES = {
     "commits": "commit_index long, commit_id string, commit_time timestamp, summary string",
     "versions": "path string, commit_index long, content string",
     "postings": "token string, path string, bucket int",
+    "ignored": "path string",
 }
 
 
@@ -63,7 +64,7 @@ class Store:
         if len(self.batches()) < 2:
             return None
         n = self._next()
-        for name in ("commits", "versions"):
+        for name in ("commits", "versions", "ignored"):
             self.table(name).select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={n}")
         self._write_postings(self.table("postings").select("token", "path"), f"{self.folder}/postings/batch={n}")
         self._seal(n, True)
@@ -80,9 +81,11 @@ class Store:
     def head(self) -> int | None:
         return self.table("commits").agg(F.max("commit_index")).first()[0]
 
-    def append(self, commits: DataFrame, changes: DataFrame) -> int | None:
+    def append(self, commits: DataFrame, changes: DataFrame, ignored: DataFrame | None = None) -> int | None:
         """Add the commits that aren't known yet and their changes (path, commit_index, content; a null content deletes); the batch, or None if all are known.
 
+        Paths in ``ignored`` are ignored for good: neither this append nor any later one takes a change of theirs.
+
         Only the texts of new versions are tokenised; postings hold pairs that are new to the batch
         and may repeat in others, as readers take distinct paths anyway.
         """
@@ -94,7 +97,10 @@ class Store:
         at = lambda name: f"{self.folder}/{name}/batch={n}"
         new.write.mode("overwrite").parquet(at("commits"))
         wanted = self.spark.read.schema(TABLES["commits"]).parquet(at("commits")).select("commit_index")
-        changes.where("path is not null").select("path", "commit_index", "content").join(wanted, "commit_index", "left_semi").select("path", "commit_index", "content").write.mode("overwrite").parquet(at("versions"))
+        past = self.table("ignored")
+        (past if ignored is None else past.unionByName(ignored.select("path").distinct())).distinct().write.mode("overwrite").parquet(at("ignored"))
+        out = self.spark.read.schema(TABLES["ignored"]).parquet(at("ignored"))
+        changes.where("path is not null").select("path", "commit_index", "content").join(out, "path", "left_anti").join(wanted, "commit_index", "left_semi").select("path", "commit_index", "content").write.mode("overwrite").parquet(at("versions"))
         rows = self.spark.read.schema(TABLES["versions"]).parquet(at("versions")).where("content is not null")
         self._write_postings(rows.select(F.explode(text.tokens("content")).alias("token"), "path"), at("postings"))
         self._seal(n)

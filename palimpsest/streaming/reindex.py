@@ -22,8 +22,8 @@ def reindex(changes: DataFrame, folder: str, checkpoint: str, trigger: dict | No
     def take(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         store = Store(batch.sparkSession, folder)
-        kept = encoding.split_texts(batch)[0] if dict(batch.dtypes)["content"] == "binary" else batch
-        if store.append(batch.select("commit_index", "commit_id", "commit_time", "summary"), kept) is not None and after:
+        kept, ignored = encoding.split_texts(batch) if dict(batch.dtypes)["content"] == "binary" else (batch, None)
+        if store.append(batch.select("commit_index", "commit_id", "commit_time", "summary"), kept, ignored) is not None and after:
             after(store)
         batch.unpersist()
 
@@ -49,8 +49,8 @@ def reindex_from(spark: SparkSession, repo: str, folder: str, branch: str = "HEA
     store = Store(spark, folder)
     head = store.head()
     rows = spark.read.format("git_history").options(path=repo, branch=branch, since=-1 if head is None else head).load()
-    kept, _ = encoding.split_texts(rows)
-    return store.append(rows, kept)
+    kept, ignored = encoding.split_texts(rows)
+    return store.append(rows, kept, ignored)
 
 
 def watch(spark: SparkSession, repo: str, folder: str, branch: str, every_ms: int, after=None) -> StreamingQuery:

@@ -218,3 +218,27 @@ def test_debounced(spark, tmp_path):
     q.stop()
     streamed = sorted((r["key"], r["t"], r["dropped"]) for r in spark.table("signals").select("key", F.unix_seconds("signal_at").alias("t"), "dropped").collect() if r["key"] != "end")
     assert streamed == brute_signals(rows, 30)
+
+
+def test_a_path_once_ignored_stays_ignored(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/index")
+    commits = lambda *n: spark.createDataFrame([(k, f"c{k}", None, "s") for k in n], "commit_index long, commit_id string, commit_time timestamp, summary string")
+    files = lambda *rows: encoding.split_texts(spark.createDataFrame([(p, k, b) for p, k, b in rows], "path string, commit_index long, content binary"))
+    kept, ignored = files(("a", 0, b"fine"), ("b", 0, b"\xff\xfa"))
+    store.append(commits(0), kept, ignored)
+    kept, ignored = files(("a", 1, b"\xfa"), ("b", 1, b"now it is a text"), ("c", 1, b"new"))
+    store.append(commits(1), kept, ignored)
+    kept, ignored = files(("a", 2, b"again"), ("c", 2, b"newer"))
+    store.append(commits(2), kept, ignored)
+    want = [("a", 0), ("c", 1), ("c", 2)]
+    assert sorted((r["path"], r["commit_index"]) for r in store.changes().collect()) == want
+    store.compact()
+    store.append(commits(3), *files(("b", 3, b"text"), ("c", 3, b"newest")))
+    assert sorted((r["path"], r["commit_index"]) for r in store.changes().collect()) == [*want, ("c", 3)]
+
+
+def test_commits_are_numbered_across_ranges(spark):
+    rows = [(f"id{k * 7919 % 1000:04}", (k * 31) % 17) for k in range(1000)] * 2
+    got = history.numbered_commits(spark.createDataFrame(rows, "commit_id string, at int"), "at").collect()
+    want = {c: n for n, (t, c) in enumerate(sorted({(t, c) for c, t in rows}))}
+    assert {r["commit_id"]: r["commit_index"] for r in got} == want and len(got) == 1000
