@@ -18,7 +18,7 @@ from palimpsest.llm.common import free_names
 #: Documents of a block; the power of the block counts to which default weights are proportional.
 BLOCK, TEMPER = 16, 0.7
 #: Documents of a part of a source, about; parts are numbered apart, so that no task orders a whole source.
-PART_DOCS = 4096
+PART_DOCS = 512
 #: The bound on the blocks of a plan, and so on what is broadcast (4 bytes a block): blocks are doubled until there are no more.
 MOST_BLOCKS = 1 << 22
 
