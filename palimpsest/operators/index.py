@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text
+from palimpsest.functions import text, windows
 from palimpsest.plans.regex import Need
 
 
 def version_tokens(changes: DataFrame) -> DataFrame:
     """(path, commit_index, token): the distinct tokens of every version, distinct before anything is shuffled."""
-    return changes.where("content is not null").select("path", "commit_index", F.explode(text.tokens("content")).alias("token"))
+    return changes.where("content is not null").select("path", F.col("commit_index").cast("long"), "content").mapInArrow(windows.each, windows.EACH)
 
 
 def postings(changes: DataFrame) -> DataFrame:
-    """(token, path): files that ever held a token. Deletions take nothing away."""
-    return version_tokens(changes).select("token", "path").distinct()
+    """(token, path): files that ever held a token. Deletions take nothing away.
+
+    Versions of a file are tokenised together in Arrow batches, so few pairs reach the JVM more than once.
+    """
+    return changes.where("content is not null").select("path", "content").mapInArrow(windows.pairs, windows.PAIRS).distinct()
 
 
 def dictionary(postings: DataFrame) -> DataFrame:

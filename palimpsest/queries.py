@@ -114,7 +114,7 @@ def token_counts(spark, sf_dir):
 
 @query("token_dictionary", _with(*_TOKENS) + "select distinct token from tok")
 def token_dictionary(spark, sf_dir):
-    return index.dictionary(index.version_tokens(documents(spark, sf_dir)))
+    return index.dictionary(index.postings(documents(spark, sf_dir)))
 
 
 @query("postings", _with(*_TOKENS) + "select distinct token, path from tok")
@@ -146,24 +146,24 @@ def short_line_tokens(spark, sf_dir):
 
 @query("dictionary_substring", _with(*_TOKENS) + "select distinct token from tok where contains(token, 'en')")
 def dictionary_substring(spark, sf_dir):
-    words = index.dictionary(index.version_tokens(documents(spark, sf_dir)))
+    words = index.dictionary(index.postings(documents(spark, sf_dir)))
     return index.with_needs(words, [Need("holds", "en")]).select("token")
 
 
 @query("dictionary_class", _with(*_TOKENS) + "select distinct token from tok where regexp_matches(token, '^[a-c]n[d-t]$')")
 def dictionary_class(spark, sf_dir):
-    words = index.dictionary(index.version_tokens(documents(spark, sf_dir)))
+    words = index.dictionary(index.postings(documents(spark, sf_dir)))
     return index.with_needs(words, [Need("matches", "^[a-c]n[d-t]$")]).select("token")
 
 
 @query("files_all_tokens", _with(*_TOKENS) + "select path from (select distinct path, token from tok where token in ('und', 'der')) group by path having count(*) = 2")
 def files_all_tokens(spark, sf_dir):
-    return index.candidate_files(index.version_tokens(documents(spark, sf_dir)), [[Need("is", w) for w in WORDS]])
+    return index.candidate_files(index.postings(documents(spark, sf_dir)), [[Need("is", w) for w in WORDS]])
 
 
 @query("files_any_token", _with(*_TOKENS) + "select distinct path from tok where token in ('ßes', 'ños')")
 def files_any_token(spark, sf_dir):
-    return index.candidate_files(index.version_tokens(documents(spark, sf_dir)), [[Need("is", "ßes")], [Need("is", "ños")]])
+    return index.candidate_files(index.postings(documents(spark, sf_dir)), [[Need("is", "ßes")], [Need("is", "ños")]])
 
 
 @query("presence_intervals", _with(_C, _lines(), _EACH, _TOK, """

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text
 from palimpsest.operators import index
 
 #: Directories by hash of the token; a query reads only those of its tokens.
@@ -53,8 +52,8 @@ class Store:
         self.spark.createDataFrame([(n, whole)], "batch long, whole boolean").coalesce(1).write.mode("append").parquet(f"{self.folder}/done")
 
     def _write_postings(self, pairs: DataFrame, at: str) -> None:
-        """(token, path) pairs in ranges of one size, so that a token in most files is many tasks' work, and sorted, so that a reader skips what is not its token."""
-        pairs.distinct().withColumn("bucket", bucket(F.col("token"))).repartitionByRange("bucket", "token", "path").sortWithinPartitions("bucket", "token", "path").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        """Distinct (token, path) pairs in ranges of one size, so that a token in most files is many tasks' work, and sorted, so that a reader skips what is not its token."""
+        pairs.withColumn("bucket", bucket(F.col("token"))).repartitionByRange("bucket", "token", "path").sortWithinPartitions("bucket", "token", "path").write.mode("overwrite").partitionBy("bucket").parquet(at)
 
     def compact(self) -> int | None:
         """Writes all visible batches as one, which replaces them; the batch, or None if there is at most one.
@@ -66,7 +65,7 @@ class Store:
         n = self._next()
         for name in ("commits", "versions", "ignored"):
             self.table(name).select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={n}")
-        self._write_postings(self.table("postings").select("token", "path"), f"{self.folder}/postings/batch={n}")
+        self._write_postings(self.table("postings").select("token", "path").distinct(), f"{self.folder}/postings/batch={n}")
         self._seal(n, True)
         return n
 
@@ -101,8 +100,8 @@ class Store:
         (past if ignored is None else past.unionByName(ignored.select("path").distinct())).distinct().write.mode("overwrite").parquet(at("ignored"))
         out = self.spark.read.schema(TABLES["ignored"]).parquet(at("ignored"))
         changes.where("path is not null").select("path", "commit_index", "content").join(out, "path", "left_anti").join(wanted, "commit_index", "left_semi").select("path", "commit_index", "content").write.mode("overwrite").parquet(at("versions"))
-        rows = self.spark.read.schema(TABLES["versions"]).parquet(at("versions")).where("content is not null")
-        self._write_postings(rows.select(F.explode(text.tokens("content")).alias("token"), "path"), at("postings"))
+        rows = self.spark.read.schema(TABLES["versions"]).parquet(at("versions"))
+        self._write_postings(index.postings(rows), at("postings"))
         self._seal(n)
         return n
 
