@@ -9,12 +9,14 @@ at the last commit before a removal and around repeated additions; search uses p
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
@@ -97,15 +99,35 @@ def lines_of(content: str) -> list[str]:
     return (out[:-1] if out.endswith("\n") else out).split("\n")
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
-    """Live occurrences of a token, and the commits it is said to be in."""
+    """Live occurrences of a token, and the commits it is said to be in, as runs (first, last) in order and with gaps between them."""
 
     live: set[Place] = field(default_factory=set)
-    commits: set[int] = field(default_factory=set)
+    runs: list[Place] = field(default_factory=list)
+
+    @property
+    def commits(self) -> set[int]:
+        return {c for first, last in self.runs for c in range(first, last + 1)}
+
+    def add(self, commit: int) -> None:
+        if not self.runs or commit > self.runs[-1][1] + 1:
+            self.runs.append((commit, commit))
+            return
+        first, last = self.runs[-1]
+        if commit < first:  # out of order
+            later, self.runs = self.runs, []
+            for a, b in sorted([*later, (commit, commit)]):
+                self.add(a)
+                self.fill(b + 1)
+        elif commit > last:
+            self.runs[-1] = (first, commit)
 
     def fill(self, end: int) -> None:
-        self.commits.update(range(max(self.commits), end))
+        """All commits from the last one up to, but without, the end."""
+        first, last = self.runs[-1]
+        if end - 1 > last:
+            self.runs[-1] = (first, end - 1)
 
 
 @dataclass
@@ -127,16 +149,19 @@ class Replay:
         places = [(c, k) for c, a, b in spans for k in range(a, b)]
         gone: dict[str, set[Place]] = {}
         for place, content in zip(places, old):
-            for t in text.literal_tokens(content):
-                gone.setdefault(t, set()).add(place)
+            for t in dict.fromkeys(text.literal_tokens(content)):
+                if (where := gone.get(t)) is None:
+                    gone[t] = {place}
+                else:
+                    where.add(place)
         for t, where in gone.items():
             token = self.tokens[t]
             token.live -= where
             if not token.live:
-                if token.commits:
+                if token.runs:
                     token.fill(commit - 1)
                 else:
-                    token.commits.add(commit - 1)
+                    token.add(commit - 1)
 
     def step(self, commit: int, content: str | None) -> None:
         """What a commit made of the file; null deletes it. Hunks are applied from the last to the first, so line numbers hold."""
@@ -166,31 +191,96 @@ class Replay:
         self.pieces.add(at, len(new), (commit, line))
         self.modified.add(commit)
         for k, content in enumerate(new if self.indexed else ()):
-            for t in text.literal_tokens(content):
-                token = self.tokens.setdefault(t, Token())
-                token.live.add((commit, line + k))
-                token.commits.add(commit)
+            place, now = (commit, line + k), (commit, commit)
+            for t in dict.fromkeys(text.literal_tokens(content)):
+                token = self.tokens.get(t)
+                if token is None:
+                    self.tokens[t] = Token({place}, [now])
+                else:
+                    token.live.add(place)
+                    token.add(commit)
 
     def finish(self, head: int) -> None:
         """Live tokens are in every commit up to the head."""
         for token in self.tokens.values():
-            if token.live and head not in token.commits:
+            if token.live:
                 token.fill(head + 1)
 
 
 BLAME = "path string, line_no int, line string, intro_commit long, intro_line int"
-COMPAT = "path string, token string, live array<struct<intro_commit:long,intro_line:int>>, commits array<long>, modified array<long>, is_deleted boolean"
+GROUPS = "path string, firsts array<long>, lasts array<long>, is_deleted boolean, tokens array<string>, n_live array<int>"
+DETAILS = ", live array<array<struct<intro_commit:long,intro_line:int>>>, modified array<long>"
+#: Tokens of finished files that a task gives out at once.
+MOST_TOKENS = 1 << 16
 
 
-def _replayed(rows: pd.DataFrame, head: int | None = None) -> Replay:
-    r = Replay(indexed=head is not None)
+def _replayed(rows: pd.DataFrame) -> Replay:
+    r = Replay(indexed=False)
     for commit, content in rows.sort_values("commit_index")[["commit_index", "content"]].itertuples(index=False):
         r.step(int(commit), None if content is None or content != content else content)
-    if head is not None:
-        r.finish(head)
     return r
 
 
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, Replay]]:
+    """Each path with its replay at the head, from batches of (path, commit_index, content, head) in the order of path and commit; one file is held at a time."""
+    r = path = head = None
+    for b in batches:
+        for p, commit, content, h in zip(*(c.to_pylist() for c in b.columns)):
+            if r is None or p != path:
+                if r is not None:
+                    r.finish(head)
+                    yield path, r
+                r, path, head = Replay(), p, h
+            r.step(commit, content)
+    if r is not None:
+        r.finish(head)
+        yield path, r
+
+
+def _grouped(details: bool):
+    """The tokens of a file that are in the same commits as one row, for mapInArrow."""
+    kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    if details:
+        kinds += [pa.list_(pa.list_(pa.struct([("intro_commit", pa.int64()), ("intro_line", pa.int32())]))), pa.list_(pa.int64())]
+    names = [c.split()[0] for c in (GROUPS + DETAILS * details).split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for path, r in _files(batches):
+            same: dict[tuple[Place, ...], list[str]] = {}
+            for t, x in r.tokens.items():
+                same.setdefault(tuple(x.runs), []).append(t)
+            for runs, tokens in same.items():
+                live = [r.tokens[t].live for t in tokens]
+                more = ([[{"intro_commit": c, "intro_line": k} for c, k in sorted(x)] for x in live], sorted(r.modified)) if details else ()
+                rows.append((path, [a for a, _ in runs], [b for _, b in runs], r.deleted, tokens, [len(x) for x in live], *more))
+                n += len(tokens)
+                if n >= MOST_TOKENS:
+                    yield batch(rows)
+                    rows, n = [], 0
+        if rows:
+            yield batch(rows)
+
+    return run
+
+
+def compat_groups(versions: DataFrame, details: bool = False) -> DataFrame:
+    """The replayed token index of every file at the head (columns of GROUPS, with details those of DETAILS): tokens of a file that are in the same commits are one row, which has the runs of these commits.
+
+    Files are replayed one after the other in the order of path and commit, so a task holds one file at a time, and no commit of a run is spelled out.
+    """
+    rows = versions.select("path", "commit_index", "content", "head").repartition("path").sortWithinPartitions("path", "commit_index")
+    return rows.mapInArrow(_grouped(details), GROUPS + DETAILS * details)
+
+
+def commits_of(firsts: str, lasts: str) -> Column:
+    """The commits of some runs."""
+    return F.flatten(F.zip_with(firsts, lasts, lambda a, b: F.sequence(a, b)))
+
+
 def blame(versions: DataFrame) -> DataFrame:
     """(path, line_no, line, intro_commit, intro_line): for every line of the last version of each live file, the commit that brought it and its place there.
 
@@ -206,14 +296,9 @@ def blame(versions: DataFrame) -> DataFrame:
 
 
 def compat_index(versions: DataFrame) -> DataFrame:
-    """The replayed token index of every file at the head (columns of COMPAT)."""
-
-    def tokens(rows: pd.DataFrame) -> pd.DataFrame:
-        r = _replayed(rows, int(rows["head"].iloc[0]))
-        out = [(rows["path"].iloc[0], t, [{"intro_commit": c, "intro_line": k} for c, k in sorted(x.live)], sorted(x.commits), sorted(r.modified), r.deleted) for t, x in sorted(r.tokens.items())]
-        return pd.DataFrame(out, columns=["path", "token", "live", "commits", "modified", "is_deleted"])
-
-    return versions.select("path", "commit_index", "content", "head").groupBy("path").applyInPandas(tokens, COMPAT)
+    """(path, token, live, commits, modified, is_deleted): the replayed token index of every file at the head."""
+    groups = compat_groups(versions, details=True).select("path", commits_of("firsts", "lasts").alias("commits"), "modified", "is_deleted", F.explode(F.arrays_zip("tokens", "live")).alias("t"))
+    return groups.select("path", F.col("t.tokens").alias("token"), "t.live", "commits", "modified", "is_deleted")
 
 
 def edit_stats(versions: DataFrame) -> DataFrame:

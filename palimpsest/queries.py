@@ -456,8 +456,11 @@ def blame_lines(spark, sf_dir):
 
 @query("compat_presence")
 def compat_presence(spark, sf_dir):
-    rows = lineage.compat_index(history.versions(conversations(spark, sf_dir)))
-    return rows.select("path", "token", F.size("live").alias("n_live"), F.array_join(F.col("commits").cast("array<string>"), ",").alias("commits"), "is_deleted")
+    """The commits are written as text once for all tokens of a file that are in the same ones."""
+    groups = lineage.compat_groups(history.versions(conversations(spark, sf_dir)))
+    commits = F.array_join(lineage.commits_of("firsts", "lasts").cast("array<string>"), ",")
+    rows = groups.select("path", commits.alias("commits"), "is_deleted", F.explode(F.arrays_zip("tokens", "n_live")).alias("t"))
+    return rows.select("path", F.col("t.tokens").alias("token"), "t.n_live", "commits", "is_deleted")
 
 
 @query("edit_stats")
