@@ -297,8 +297,8 @@ def blame(versions: DataFrame) -> DataFrame:
 
 def compat_index(versions: DataFrame) -> DataFrame:
     """(path, token, live, commits, modified, is_deleted): the replayed token index of every file at the head."""
-    groups = compat_groups(versions, details=True).select("path", commits_of("firsts", "lasts").alias("commits"), "modified", "is_deleted", F.explode(F.arrays_zip("tokens", "live")).alias("t"))
-    return groups.select("path", F.col("t.tokens").alias("token"), "t.live", "commits", "modified", "is_deleted")
+    groups = compat_groups(versions, details=True).select("path", commits_of("firsts", "lasts").alias("commits"), "modified", "is_deleted", F.arrays_zip("tokens", "live").alias("each"))
+    return groups.withColumn("t", F.explode("each")).select("path", F.col("t.tokens").alias("token"), "t.live", "commits", "modified", "is_deleted")
 
 
 def edit_stats(versions: DataFrame) -> DataFrame:

@@ -459,7 +459,9 @@ def compat_presence(spark, sf_dir):
     """The commits are written as text once for all tokens of a file that are in the same ones."""
     groups = lineage.compat_groups(history.versions(conversations(spark, sf_dir)))
     commits = F.array_join(lineage.commits_of("firsts", "lasts").cast("array<string>"), ",")
-    rows = groups.select("path", commits.alias("commits"), "is_deleted", F.explode(F.arrays_zip("tokens", "n_live")).alias("t"))
+    # a select of its own: beside explode() it would be computed for each token
+    told = groups.select("path", commits.alias("commits"), "is_deleted", F.arrays_zip("tokens", "n_live").alias("each"))
+    rows = told.select("path", "commits", "is_deleted", F.explode("each").alias("t"))
     return rows.select("path", F.col("t.tokens").alias("token"), "t.n_live", "commits", "is_deleted")
 
 

@@ -60,3 +60,8 @@ def test_the_query_is_the_index(spark, sf):
     got = queries.QUERIES["compat_presence"](spark, sf)
     assert got.columns == ["path", "token", "n_live", "commits", "is_deleted"]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_commits_are_written_before_the_tokens_are_spread(spark, sf):
+    plan = queries.QUERIES["compat_presence"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("array_join")
