@@ -11,8 +11,12 @@ import pyarrow as pa
 
 #: Characters whose windows are made at once; characters that wait to be taken together; (token, path) pairs kept before they are given out.
 SLICE, WAITING, KEPT = 1 << 20, 1 << 22, 1 << 21
+#: Rows of packed tokens and (token, path) pairs given out at once.
+ROWS, GIVEN = 1 << 12, 1 << 16
 BITS = 21
-PAIRS, EACH = "token string, path string", "path string, commit_index long, token string"
+PAIRS, EACH, PACKED = "token string, path string", "path string, commit_index long, token string", "path string, part int, tokens binary"
+#: The tokens of a path are shuffled in so many parts (a power of two) by hash.
+PARTS_BITS = 4
 
 
 def numbers(text: str) -> np.ndarray:
@@ -69,8 +73,8 @@ def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, found, n = [], [], 0
 
 
-def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, path) for batches of (path, content), mostly once a task: texts of a path are taken together, as no token crosses a line end.
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, part, tokens) for batches of (path, content): the distinct tokens of a path as numbers, mostly once a task: texts of a path are taken together, as no token crosses a line end.
 
     At most WAITING characters, or one text, and KEPT pairs beyond those of one path are held.
     """
@@ -87,11 +91,19 @@ def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting.clear()
 
     def given() -> Iterator[pa.RecordBatch]:
-        for path, tokens in kept.items():
-            if len(tokens):
-                # paths go back as the bytes they came as
-                yield pa.RecordBatch.from_arrays([pa.array(strings(tokens), pa.string()), pa.array([path] * len(tokens), pa.binary()).view(pa.string())], ["token", "path"])
+        paths, parts, tokens = [], [], []
+        for path, held in kept.items():
+            held = np.sort(held)  # near numbers are alike, which compresses
+            part = (held * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARTS_BITS)
+            for k in np.unique(part):
+                paths.append(path)
+                parts.append(int(k))
+                tokens.append(held[part == k].astype("<u8").tobytes())
         kept.clear()
+        for at in range(0, len(paths), ROWS):
+            to = at + ROWS
+            # paths go back as the bytes they came as
+            yield pa.RecordBatch.from_arrays([pa.array(paths[at:to], pa.binary()).view(pa.string()), pa.array(parts[at:to], pa.int32()), pa.array(tokens[at:to], pa.binary())], ["path", "part", "tokens"])
 
     for b in batches:
         raw = pa.binary()
@@ -109,3 +121,53 @@ def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     n = 0
     take()
     yield from given()
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, path) for batches of (path, part, tokens) in the order of path and part: each pair once.
+
+    One part of a path, GIVEN pairs and some KEPT numbers are held.
+    """
+    key: tuple = ()
+    same: list[np.ndarray] = []
+    whole: list[tuple[bytes | None, np.ndarray]] = []
+    size = n = 0
+
+    def close() -> None:
+        nonlocal size, n
+        if same:
+            whole.append((key[0], pd.unique(np.concatenate(same))))
+            n += len(whole[-1][1])
+        same.clear()
+        size = 0
+
+    def given() -> Iterator[pa.RecordBatch]:
+        nonlocal n
+        if n:
+            at = pa.array(np.repeat(np.arange(len(whole)), [len(t) for _, t in whole]))
+            paths = pa.array([p for p, _ in whole], pa.binary()).view(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(strings(np.concatenate([t for _, t in whole])), pa.string()), paths.take(at)], ["token", "path"])
+        whole.clear()
+        n = 0
+
+    for b in batches:
+        raw = pa.binary()
+        for path, part, tokens in zip(b.column(0).cast(raw), b.column(1), b.column(2).cast(raw)):
+            at = (path.as_py(), part.as_py())
+            if at != key:
+                close()
+                key = at
+                if n >= GIVEN:
+                    yield from given()
+            same.append(np.frombuffer(tokens.as_py(), "<u8"))
+            size += len(same[-1])
+            if size >= max(KEPT, len(same[0])):  # a large part isn't gone over again for each row
+                same[:] = [pd.unique(np.concatenate(same))]
+                size = 0
+    close()
+    yield from given()
+
+
+def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, path) for batches of (path, content) without a shuffle between: a pair that is given out twice by packed() may come twice."""
+    return unpacked(packed(batches))

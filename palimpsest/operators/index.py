@@ -17,9 +17,11 @@ def version_tokens(changes: DataFrame) -> DataFrame:
 def postings(changes: DataFrame) -> DataFrame:
     """(token, path): files that ever held a token. Deletions take nothing away.
 
-    Versions of a file are tokenised together in Arrow batches, so few pairs reach the JVM more than once.
+    Versions of a file are tokenised together in Arrow batches. What is shuffled are arrays of numbers, a few
+    rows for each file and task; only the distinct pairs become strings and rows.
     """
-    return changes.where("content is not null").select("path", "content").mapInArrow(windows.pairs, windows.PAIRS).distinct()
+    packed = changes.where("content is not null").select("path", "content").mapInArrow(windows.packed, windows.PACKED)
+    return packed.repartition("path", "part").sortWithinPartitions("path", "part").mapInArrow(windows.unpacked, windows.PAIRS)
 
 
 def dictionary(postings: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from palimpsest.operators import index
 
 #: Directories by hash of the token; a query reads only those of its tokens.
 BUCKETS = 64
+#: Numbers of commits go to all executors as bits, if that takes at most so many rows of 64.
+MOST_WORDS = 1 << 20
 TABLES = {
     "commits": "commit_index long, commit_id string, commit_time timestamp, summary string",
     "versions": "path string, commit_index long, content string",
@@ -21,6 +23,20 @@ def bucket(token) -> F.Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
+def of_commits(changes: DataFrame, commits: DataFrame) -> DataFrame:
+    """The changes whose commit_index is among those of commits.
+
+    Commits are numbered one after another, so 64 of them are the bits of one row, and these rows are few
+    enough to be sent to the texts; texts are shuffled only if there are more than MOST_WORDS such rows.
+    """
+    number = F.col("commit_index").cast("long")
+    word = F.shiftright(number, 6)
+    words = commits.groupBy(word.alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(commit_index & 63 as int)))").alias("__bits"))
+    few = words.count() <= MOST_WORDS
+    both = changes.withColumn("__word", word).join(F.broadcast(words) if few else words, "__word")
+    return both.where(F.expr("shiftright(__bits, cast(cast(commit_index as bigint) & 63 as int)) & 1 = 1")).select(*changes.columns)
+
+
 class Store:
     """An index in a folder that all executors share.
 
@@ -41,7 +57,7 @@ class Store:
         """The numbers of the visible batches: those from the last compacted one on."""
         if not self._exists("done"):
             return []
-        rows = self.spark.read.schema("batch long, whole boolean").parquet(f"{self.folder}/done").distinct().collect()
+        rows = self.spark.read.schema("batch long, whole boolean").parquet(f"{self.folder}/done").collect()
         first = max((r["batch"] for r in rows if r["whole"]), default=0)
         return sorted({r["batch"] for r in rows if r["batch"] >= first})
 
@@ -90,16 +106,16 @@ class Store:
         """
         known = self.table("commits").select("commit_id")
         new = commits.select(*[F.col(c) for c in ("commit_index", "commit_id", "commit_time", "summary")]).dropDuplicates(["commit_id"]).join(known, "commit_id", "left_anti").select("commit_index", "commit_id", "commit_time", "summary")
-        if not new.take(1):
-            return None
         n = self._next()
         at = lambda name: f"{self.folder}/{name}/batch={n}"
         new.write.mode("overwrite").parquet(at("commits"))
         wanted = self.spark.read.schema(TABLES["commits"]).parquet(at("commits")).select("commit_index")
+        if not wanted.take(1):
+            return None  # the batch stays unnamed, and the next append writes it anew
         past = self.table("ignored")
         (past if ignored is None else past.unionByName(ignored.select("path").distinct())).distinct().write.mode("overwrite").parquet(at("ignored"))
         out = self.spark.read.schema(TABLES["ignored"]).parquet(at("ignored"))
-        changes.where("path is not null").select("path", "commit_index", "content").join(out, "path", "left_anti").join(wanted, "commit_index", "left_semi").select("path", "commit_index", "content").write.mode("overwrite").parquet(at("versions"))
+        of_commits(changes.where("path is not null").select("path", "commit_index", "content"), wanted).join(out, "path", "left_anti").select("path", "commit_index", "content").write.mode("overwrite").parquet(at("versions"))
         rows = self.spark.read.schema(TABLES["versions"]).parquet(at("versions"))
         self._write_postings(index.postings(rows), at("postings"))
         self._seal(n)
